@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_id import fit, identify_language
 from .license_scan import scan_licenses
 from .mixing import mix, word_count
+from .packing import pack_documents
 from .shared import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = fit(docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col("doc_id").alias("key"), "text", "lang"))
+    return identify_language(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """(q_id, quality_weight): 2 for documents labelled good, 0.5 for those labelled bad."""
     good = F.max(F.col("quality").cast("int"))
@@ -33,6 +46,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
