@@ -10,6 +10,7 @@ from .language_id import fit, identify_language
 from .license_scan import scan_licenses
 from .mixing import mix, word_count
 from .packing import pack_documents
+from .pii import find_personal_data, fit_on
 from .shared import table
 from .topk_search import search
 from .warc import round_trip
@@ -28,6 +29,11 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_personal_data(docs, fit_on(docs))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
@@ -61,6 +67,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op4_exact_topk": op4_exact_topk,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op5_personal_data": op5_personal_data,
     "op6_mix_sources": op6_mix_sources,
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
