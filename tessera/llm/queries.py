@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .language_id import fit, identify_language
 from .license_scan import scan_licenses
 from .mixing import mix, word_count
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import find_personal_data, fit_on
 from .shared import table
@@ -20,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -65,6 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op2_order_minhash": op2_order_minhash,
     "op4_exact_topk": op4_exact_topk,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op5_personal_data": op5_personal_data,
