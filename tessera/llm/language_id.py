@@ -8,8 +8,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import ship
@@ -108,23 +108,35 @@ def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int = MODEL_
     return WordFirstModel([(r["lang"], r["word"], r["count"]) for r in top.collect()])
 
 
-def identify_language(docs: DataFrame, model: WordFirstModel, keep: list[Column | str] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of every row, lang_pred and score, from the row's whole text alone.
+def language_of(spark: SparkSession, model: WordFirstModel, text: Column) -> Column:
+    """struct(lang_pred, score) of a text, from the whole text alone.
 
     A text that is null or has no letter gets 'und' and 0, as does every text if the model knows no language.
-    Score is the posterior of the language under equal priors. Each row is judged by itself, so repeated rows get
-    equal results, and neither other columns nor null ids matter.
+    Score is the posterior of the language under equal priors.
     """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predictor = Predictor(shared.value)
-        for batch in batches:
-            found = [predictor.predict(text) for text in batch.column("_text").to_pylist()]
-            kept = [n for n in batch.schema.names if n != "_text"]
-            columns = [batch.column(n) for n in kept] + [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
-
-    slim = docs.select(*keep, F.col("text").alias("_text"))
-    return slim.mapInArrow(label, slim.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
+        for texts in batches:
+            yield pd.DataFrame([predictor.predict(text) for text in texts], columns=["lang_pred", "score"])
+
+    return predict(text)
+
+
+def identify_language(docs: DataFrame, model: WordFirstModel, *keep: Column | str) -> DataFrame:
+    """The columns `keep` of every row of docs (text, ...), with lang_pred and score.
+
+    Each row is judged by its text alone, so repeated rows get equal results, and neither other columns nor null
+    ids matter. An empty table gives no rows.
+    """
+    return docs.select(*keep, language_of(docs.sparkSession, model, F.col("text")).alias("found")).select("*", "found.*").drop("found")
+
+
+def drop_unidentified(docs: DataFrame, model: WordFirstModel, least: float = 0.5) -> DataFrame:
+    """docs without texts of no language or of a posterior under `least`; all columns stay as they are."""
+    found = language_of(docs.sparkSession, model, F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), found.alias("found"))
+    return rows.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")

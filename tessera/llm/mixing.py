@@ -9,6 +9,8 @@ from .shared import publish
 
 SLICES = 4096
 """Slices of the key's range in a source; only the slice that the budget ends in is sorted."""
+BROADCAST_SOURCES = 100_000
+"""Decisions of so many sources (about 50 bytes each) are broadcast; those of more are joined by a shuffle."""
 
 
 def word_count(text: Column) -> Column:
@@ -47,8 +49,19 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     )
 
 
+def sampling_key(weight: Column | None, size: Column | None, seed: int) -> list[Column]:
+    """doc_id, source, size, key and slice: the Efraimidis-Spirakis key -ln(u)/w and its slice by probability."""
+    words = word_count(F.col("text")) if size is None else size
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", words, F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
+    w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(F.lit(1.0))
+    key = -F.log(u) / w
+    # 1 - exp(-key) rises with the key and lies in [0, 1].
+    part = F.floor((1 - F.exp(-key)) * SLICES).cast("int")
+    return [F.col("doc_id"), F.col("source"), words.alias("size"), key.alias("key"), part.alias("slice")]
+
+
 def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = None, seed: int = 17, cut_last: bool = True, **targets) -> DataFrame:
-    """Words to take of every row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken.
+    """Words to take of every row of docs (doc_id, text, source): doc_id, source, size, key, source_size, target, epochs, taken.
 
     The size of a document is its number of words, or the column `size`.
 
@@ -62,15 +75,7 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     a null source is a source of its own, null or non-positive weights count as 1, and repeated rows are rows of
     their own. Reruns agree.
     """
-    base = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w"))
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "size", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
-    keyed = (
-        base.withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0)))
-        .withColumn("key", -F.log(u) / F.col("w"))
-        # 1 - exp(-key) rises with the key and lies in [0, 1).
-        .withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int"))
-    )
-    keyed = publish(keyed, "mix-keys")
+    keyed = publish(docs.select(*sampling_key(weight, size, seed)), "mix-keys")
     slices = publish(keyed.groupBy("source", "slice").agg(F.sum("size").alias("n")), "mix-slices")
     goals = source_targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), **targets).withColumnRenamed("source", "g_source")
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,9 +89,32 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     rows = keyed.join(placed, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("slice") == F.col("g_slice")))
     whole = F.col("epochs") * F.col("size")
     edge = (F.col("left") > 0) & (F.col("left") < F.col("n"))
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "key", "source_size", "target", "epochs"]
     plain = rows.filter(~edge).select(*columns, (whole + F.when(F.col("left") >= F.col("n"), F.col("size")).otherwise(0)).alias("taken"))
     within = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = rows.filter(edge).withColumn("left", F.col("left") - F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
     more = F.greatest(F.least("left", "size"), F.lit(0)) if cut_last else F.when(F.col("left") * 2 >= F.col("size"), F.col("size")).otherwise(0)
     return plain.unionByName(last.select(*columns, (whole + F.when(F.col("left") > 0, more).otherwise(0)).alias("taken")))
+
+
+def repeat_documents(docs: DataFrame, weight: Column | None = None, seed: int = 17, **targets) -> DataFrame:
+    """docs with each row as often as the mix takes it, whole documents only; all columns stay as they are.
+
+    Within a source the rest is the documents up to one key. So the decisions are a row per source, and documents
+    find theirs by their own key; no text is shuffled while sources are few enough to broadcast.
+    """
+    taken = mix(docs, weight, None, seed, cut_last=False, **targets)
+    more = F.col("taken") > F.col("epochs") * F.col("size")
+    cuts = publish(
+        taken.groupBy(F.col("source").alias("c_source")).agg(
+            F.max("epochs").alias("epochs"), F.max(F.when(more, F.struct("key", "doc_id", "size"))).alias("cut")
+        ),
+        "mix-cuts",
+    )
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    rows = docs.select(F.struct("*").alias("row"), *sampling_key(weight, None, seed))
+    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source")))
+    before = F.coalesce(F.struct("key", "doc_id", "size") <= F.col("cut"), F.lit(False)) & (F.col("size") > 0)
+    times = (F.col("epochs") + before.cast("long")).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html_text
 from .exact_dedup import exact_dedup
 from .language_id import fit, identify_language
 from .license_scan import scan_licenses
@@ -25,6 +26,11 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_main_text(pages, html_text.fit_on(pages))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -43,7 +49,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     model = fit(docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col("doc_id").alias("key"), "text", "lang"))
-    return identify_language(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
+    return identify_language(docs, model, "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -71,6 +77,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op2_order_minhash": op2_order_minhash,
+    "op3_main_text": op3_main_text,
     "op4_exact_topk": op4_exact_topk,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op5_personal_data": op5_personal_data,
