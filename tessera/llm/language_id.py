@@ -59,8 +59,8 @@ class WordFirstModel:
         """Log frequency of a known word; else the mean over its known n-grams of the greatest length that has any."""
         if (known := self.words.get(word)) is not None:
             return known
-        marked = f"^{word}$"
         for n in range(self.longest, 0, -1):
+            marked = f"^{word}$" if n > 1 else word
             found = [s for i in range(len(marked) - n + 1) if (s := self.by_gram.get(marked[i : i + n])) is not None]
             if found:
                 return np.mean(found, axis=0)
