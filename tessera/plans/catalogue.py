@@ -10,7 +10,7 @@ from ..functions.text import STOPWORDS, normal_text, terms
 from ..functions.vector import cosine_distance, l2_distance
 from ..operators import fulltext, recommend, relational, spatial, vectors
 from ..sources import csv_load, tables
-from ..sources.scratch import new_folder
+from ..sources.scratch import new_folder, ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,7 @@ def query(oracle: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
