@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,40 +16,42 @@ from .shared import ship
 
 TRAIN_DOCS = 8_000
 """Bound of the fitting sample: so many labelled documents, drawn evenly by a hash of their ids."""
-MODEL_WORDS = 150_000
+MODEL_WORDS = 80_000
 """Bound of the model: so many (language, word) counts, the most frequent ones."""
 LONGEST = 5
 WORDS = re.compile(r"[^\W\d_]+")
-MEMO = 200_000
+MEMO = 100_000
 UNKNOWN = "und"
 
 
 class WordFirstModel:
     """Log frequencies by language: of known words, and of their n-grams for words that are unseen."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], longest: int = LONGEST):
+    def __init__(self, counts: Iterable[tuple[str, str, int]], longest: int = LONGEST):
         self.longest = longest
-        self.languages = sorted({lang for lang, _, _ in counts})
-        column = {lang: i for i, lang in enumerate(self.languages)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(column)))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(column)))
+        words: dict[str, Counter] = defaultdict(Counter)
+        grams: dict[str, Counter] = defaultdict(Counter)
         for lang, word, n in counts:
-            words[word][column[lang]] += n
+            words[lang][word] += n
             for gram in self.grams(word):
-                grams[gram][column[lang]] += n
-        self.prior = sum(words.values(), np.zeros(len(column)))
-        self.words = self.logs(words, lambda _: 0)
-        self.by_gram = self.logs(grams, len)
-
-    @staticmethod
-    def logs(counts: dict[str, np.ndarray], level) -> dict[str, np.ndarray]:
-        """Smoothed log frequency of each entry among those of its level, by language."""
-        totals: dict[int, np.ndarray] = defaultdict(float)
-        kinds: Counter = Counter()
-        for key, n in counts.items():
-            totals[level(key)] = totals[level(key)] + n
-            kinds[level(key)] += 1
-        return {key: np.log((n + 0.5) / (totals[level(key)] + 0.5 * kinds[level(key)])) for key, n in counts.items()}
+                grams[lang][gram] += n
+        self.languages = sorted(words)
+        self.prior = [words[lang].total() for lang in self.languages]
+        self.words, self.word_logs = self.logs(words, lambda _: 0)
+        self.by_gram, self.gram_logs = self.logs(grams, len)
+
+    def logs(self, counts: dict[str, Counter], level) -> tuple[dict[str, int], np.ndarray]:
+        """Each entry's row in a table of smoothed log frequencies, by language, among the entries of its level."""
+        rows = {key: i for i, key in enumerate(sorted(set().union(*counts.values())))}
+        table = np.zeros((len(rows), len(self.languages)))
+        for column, lang in enumerate(self.languages):
+            own = counts[lang]
+            table[[rows[k] for k in own], column] = list(own.values())
+        levels = np.array([level(k) for k in rows], int)
+        for n in set(levels.tolist()):
+            part = levels == n
+            table[part] = np.log((table[part] + 0.5) / (table[part].sum(axis=0) + 0.5 * part.sum()))
+        return rows, table.astype(np.float32)
 
     def grams(self, word: str) -> list[str]:
         marked = f"^{word}$"
@@ -58,12 +60,12 @@ class WordFirstModel:
     def score_word(self, word: str) -> np.ndarray:
         """Log frequency of a known word; else the mean over its known n-grams of the greatest length that has any."""
         if (known := self.words.get(word)) is not None:
-            return known
+            return self.word_logs[known]
         for n in range(self.longest, 0, -1):
             marked = f"^{word}$" if n > 1 else word
-            found = [s for i in range(len(marked) - n + 1) if (s := self.by_gram.get(marked[i : i + n])) is not None]
+            found = [g for i in range(len(marked) - n + 1) if (g := self.by_gram.get(marked[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_logs[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
 
@@ -104,8 +106,8 @@ def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int = MODEL_
     share = min(1.0, max_docs / max(1, labelled.count()))
     sample = labelled.filter(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).filter("word != ''")
-    top = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(max_words)
-    return WordFirstModel([(r["lang"], r["word"], r["count"]) for r in top.collect()])
+    top = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(max_words).toArrow()
+    return WordFirstModel(zip(*(top.column(c).to_pylist() for c in ("lang", "word", "count"))))
 
 
 def language_of(spark: SparkSession, model: WordFirstModel, text: Column) -> Column:

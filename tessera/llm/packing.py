@@ -29,7 +29,17 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
+def exact_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(path)
+    exact.no_truncation()
+    exact.no_padding()
+    return exact
+
+
+@lru_cache(maxsize=2)
 def encoder(path: str):
     """Text -> ids, as the vocabulary file's own library gives them.
 
@@ -38,18 +48,14 @@ def encoder(path: str):
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
-    exact.no_truncation()
-    exact.no_padding()
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if SPECIAL in text:
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact_tokenizer(path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
+BATCH_ROWS = 500
+"""Rows of an Arrow batch: long texts are held by the hundred, not by Spark's ten thousand."""
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's path; elsewhere than on one machine, install it or give it as --py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    """Prepare a session for the Python steps: workers can import this package, and batches are small."""
+    scratch.ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -64,3 +68,17 @@ def with_mark(rows: DataFrame, marked: DataFrame, name: str, *columns: str | Col
     hit = byte.bitwiseAND(power) != 0
     joined = rows.join(F.broadcast(marked), F.bitmap_bucket_number(slot) == F.col("_mark_bucket"), "left")
     return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_mark_bucket", "_mark_bits")
+
+
+def bounded_sample(rows: DataFrame, size: int, *key: str) -> list:
+    """At most `size` rows, those whose hash of `key` is least, in that order.
+
+    Only hashes are sorted; then the rows up to the last hash are fetched, so that the driver gets `size` rows
+    however many partitions there are. Rows of equal keys may be left out beyond `size`.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64(*key))
+    last = hashed.select("_hash").orderBy("_hash").limit(size).agg(F.max("_hash")).first()[0]
+    if last is None:
+        return []
+    found = hashed.filter(F.col("_hash") <= last).limit(size).collect()
+    return sorted(found, key=lambda r: (r["_hash"], str([r[k] for k in key])))
