@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.vector import METRICS, parse_vector
 from .relational import top
 
+MAX_LISTS = 4_096
+"""Bound of the default number of cells, whose centres the driver holds."""
 NAMES = {"l2": "dist_l2", "cosine": "dist_cosine"}
 
 
@@ -39,7 +41,7 @@ class IvfIndex:
         rows = df.count()
         if not rows:
             raise ValueError("an index needs rows")
-        self.lists = min(rows, lists or max(1, math.isqrt(rows)))
+        self.lists = min(rows, lists or max(1, min(MAX_LISTS, math.isqrt(rows))))
         vectors = df.withColumn("_v", array_to_vector(self.unit(F.col(column).cast("array<double>"))))
         # Cells are learned from a bounded sample; every row is assigned and stored.
         drawn = vectors.select("_v").sample(min(1.0, sample / rows), seed) if rows > sample else vectors.select("_v")
