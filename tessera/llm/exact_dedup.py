@@ -32,12 +32,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # A row that was not hashed joins on its own head and length, which no group has.
     rows = rows.withColumn("key", F.coalesce(F.col("digest"), F.encode(F.concat_ws("/", "size", "head"), "UTF-8")))
-    groups = (
+    # Written first, so that the join reads both sides anew and Spark can split a hot group's rows.
+    groups = publish(
         rows.filter("alive")
-        .groupBy("key")
+        .groupBy(F.col("key").alias("group_key"))
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
-        .withColumnRenamed("key", "group_key")
+        .filter("group_size > 1"),
+        "exact-sizes",
     )
     joined = rows.join(groups, rows.key == groups.group_key, "left").select(
         "doc_id",
