@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import publish, ship
+from .shared import bounded_sample, publish, ship
 
 PIVOTS = 32
 SAMPLE = 2_000
@@ -92,7 +92,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         .filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
         .dropDuplicates(["vec_id", "embedding"])
     )
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "embedding").limit(sample).toPandas()
+    drawn = pd.DataFrame([(r["vec_id"], r["embedding"]) for r in bounded_sample(rows.select("vec_id", "embedding"), sample, "vec_id")], columns=["vec_id", "embedding"])
 
     def scaled(cells) -> np.ndarray:
         return np.clip(np.floor(np.stack([np.asarray(c, float) for c in cells]) * scale), -LIMIT, LIMIT)
