@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import bounded_sample, ship
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 400
@@ -25,7 +25,6 @@ LONGEST = 14
 REACH = 32
 """Characters around a digit or an @ that the field reads."""
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -134,7 +133,6 @@ class SemiMarkovField:
 
     def __init__(self):
         self.weights: dict[str, float] = defaultdict(float)
-        self.memo: dict[tuple, float] = {}
 
     def segments(self, text: str, tokens: list[tuple[int, int]], fixed: dict[int, tuple[str, int]] = {}) -> list[list[tuple[int, str]]]:  # noqa: B006
         """For every token the (length, label) of segments that may end before the next; fixed spans allow no other."""
@@ -313,7 +311,7 @@ def fit(texts: list[str], rounds: int = 3, seed: int = 5) -> dict[str, float]:
     """Weights fitted on at most FIT_REGIONS regions: those of the sample with its base spans, and made-up ones with
     its words, in which the same data also stands in forms that the base patterns miss."""
     rng, field = random.Random(seed), SemiMarkovField()
-    words = sorted({w for t in texts for w in t[:2000].split() if w.isalpha()})[:5000] or ["the", "of", "and", "in"]
+    words = sorted({w for t in texts for w in t.split() if w.isalpha()})[:5000] or ["the", "of", "and", "in"]
     marked = [example(rng, words) for _ in range(FIT_REGIONS * 3 // 4)]
     for text in texts:
         spans = base_spans(text)
@@ -378,6 +376,6 @@ def find_personal_data(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def fit_on(docs: DataFrame, max_docs: int = FIT_DOCS) -> dict[str, float]:
-    """Fit on a bounded sample of docs that hold a digit or an @, drawn by a hash of text and id."""
-    drawn = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    return fit([r["text"][:100_000] for r in drawn.collect()])
+    """Fit on a bounded sample of docs that hold a digit or an @, drawn by a hash of their ids."""
+    with_trigger = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
+    return fit([r["text"] for r in bounded_sample(with_trigger, max_docs, "doc_id")])
