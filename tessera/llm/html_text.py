@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import bounded_sample, ship
 
 FIT_PAGES = 120
 """Bound of the sample of pages that the labeller is fitted on."""
@@ -416,5 +416,4 @@ def extract_main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
 
 def fit_on(pages: DataFrame, max_pages: int = FIT_PAGES) -> Labeller:
     """Fit on at most max_pages pages, drawn by a hash of their ids."""
-    drawn = pages.select("page_id", "html").filter(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
-    return fit_labeller([r["html"] for r in drawn.collect()])
+    return fit_labeller([r["html"] for r in bounded_sample(pages.select("page_id", "html").filter(F.col("html").isNotNull()), max_pages, "page_id")])
