@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,7 +21,10 @@ SAMPLED = 3
 """Two texts of similarity s share one of the sketches with probability 1 - (1 - s**3)**16: all but 1e-5 at 0.8."""
 SHIFTS = 3
 DRAWS = 3
-"""Texts unlike their hub are compared again within pairs of sketches, each joined with the next SHIFTS, with DRAWS texts of each."""
+"""Texts unlike their hub are linked within pairs of sketches, each joined with the next SHIFTS, with DRAWS texts of each, before all others are compared."""
+SLOT_BITS = 22
+BLOCK = 1 << 12
+"""Shingles are counted in 2**22 slots by hash, sent in blocks; the table of orders that tasks get has a byte per slot."""
 MEMO = 300_000
 ODD = np.random.default_rng(2).integers(0, 2**63, 128, np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS, SEEDS, TURNS = ODD[:16], ODD[16:72], ODD[72:]
@@ -219,7 +223,7 @@ def hub_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def second_pairs(nodes: DataFrame, pending: DataFrame, linked: DataFrame, shifts: int = SHIFTS) -> DataFrame:
-    """(a, b): every pending text a with DRAWS other texts b of each of its finer buckets.
+    """(a, b): every pending text a with DRAWS other texts b of each of its finer buckets, so that rest_pairs has little left.
 
     A finer bucket holds the texts that share two sketches, so they share twice as many shingles. Its b are drawn by
     hashes, linked texts before others, so that a text meets many different ones. Only buckets that hold a pending
@@ -238,6 +242,89 @@ def second_pairs(nodes: DataFrame, pending: DataFrame, linked: DataFrame, shifts
     return asked.join(hubs, "key").filter(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
 
 
+def slots_of(named: np.ndarray) -> np.ndarray:
+    return (named >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def commonness(words: DataFrame) -> np.ndarray:
+    """Per slot of shingle hashes a byte that grows with the number of texts' shingles in it: 0 for none, 1 for just one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.uint32)
+        for batch in batches:
+            for raw in batch.column("words"):
+                np.add.at(counts, slots_of(labelled(shingles(np.frombuffer(raw.as_py(), np.uint32), SHINGLE))), 1)
+        blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        for part in np.array_split(used, max(1, len(used) // 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([blocks[i].tobytes() for i in part], pa.binary())], names=["block", "counts"])
+
+    def total(group: pa.Table) -> pa.Table:
+        counts = np.zeros(BLOCK, np.uint64)
+        for raw in group.column("counts"):
+            counts += np.frombuffer(raw.as_py(), np.uint32)
+        level = np.where(counts > 1, 1 + np.ceil(4 * np.log2(np.maximum(counts, 1))), counts).clip(max=255).astype(np.uint8)
+        return pa.table({"block": group.column("block")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+
+    counted = words.select("words").mapInArrow(count, "block int, counts binary")
+    levels = np.zeros(((1 << SLOT_BITS) // BLOCK, BLOCK), np.uint8)
+    for block, raw in counted.groupBy("block").applyInArrow(total, "block int, levels binary").collect():
+        levels[block] = np.frombuffer(raw, np.uint8)
+    return levels.ravel()
+
+
+def prefix(named: np.ndarray, levels: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The text's rarest labelled shingles, as many as a pair of similarity `least` needs to share one, and their places.
+
+    All texts order shingles alike, by level and hash; any such order is exact, and one that puts shared passages
+    last gives few pairs. Shingles that stand in one text only are left out, but keep their places.
+    """
+    level = levels[slots_of(named)]
+    size = len(named) - math.ceil(least * len(named) - 1e-9) + 1
+    order = np.lexsort((named, level))[:size]
+    places = np.flatnonzero(level[order] > 1)
+    return named[order[places]], places
+
+
+def rest_pairs(words: DataFrame, rooted: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
+    """(a, b): all pairs of texts of `rooted` (fp, root) with different roots that can reach `least`, by prefix filtering.
+
+    A pair of similarity `least` has at least need = least * (n + m) / (1 + least) labelled shingles in common, so its
+    first common one leaves that many behind it in both texts. The lengths and that place decide; nothing is capped.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(levels)  # a byte per slot
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, node, root in zip(batch.column("words"), batch.column("node"), batch.column("root")):
+                named = labelled(shingles(np.frombuffer(raw.as_py(), np.uint32), SHINGLE))
+                tokens, places = prefix(named, shared.value, least)
+                if len(tokens):
+                    same = [pa.array(np.full(len(tokens), x.as_py(), np.int64)) for x in (node, root)]
+                    columns = [pa.array(tokens.view(np.int64)), *same, pa.array(np.full(len(tokens), len(named), np.int32)), pa.array(places.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "root", "size", "place"])
+
+    # Nodes and roots go as 64-bit hashes.
+    ids = rooted.select("fp", F.xxhash64("fp").alias("node"), F.xxhash64("root").alias("root"))
+    rows = words.join(ids, "fp").select("words", "node", "root").mapInArrow(rarest, "token long, node long, root long, size int, place int")
+    rows = publish(rows, "near-rarest")
+    several = publish(rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token"), "near-several")
+    rows = with_mark(rows, marks(several, "token"), "shared", "token").filter("shared").drop("shared").join(several, "token", "left_semi")
+    rows = publish(rows, "near-rarest")
+    name = lambda end: [F.col(c).alias(c + end) for c in ("node", "root", "size", "place")]
+    need = least * (F.col("size_a") + F.col("size_b")) / (1 + least) - 1e-6
+    short = rows.filter(F.col("size") - F.col("place") >= 2 * least / (1 + least) * F.col("size") - 1e-6)
+    met = short.select("token", *name("_a")).join(rows.select("token", *name("_b")), "token").filter(
+        (F.col("root_a") != F.col("root_b"))
+        & (F.struct("size_a", "node_a") < F.struct("size_b", "node_b"))
+        & (F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= need)
+        & (F.col("size_a") >= need)
+    )
+    pairs = met.select("node_a", "node_b").distinct()
+    fps = ids.select("fp", "node")
+    return pairs.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("node_a")), "node_a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("node_b")), "node_b").select("a", "b")
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root): the least node of each link's component, by alternating star contraction.
 
@@ -273,8 +360,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, shifts: int = SH
     sketched: every sketch takes the least SAMPLED of the text's five-word shingles, labelled by occurrence, and
     keeps them in text order. Nodes that share a sketch are compared with their bucket's hub by banded alignment
     of the shingles, and pairs of similarity `least` or more are links. Members that are not like their hub are
-    compared with others of the finer buckets of two sketches. Classes are the links' components; class_id is the
-    least doc_id of a class, and of its rows one is kept, with that id.
+    compared with some of the finer buckets of two sketches; then all texts of buckets with such members are
+    compared that are not linked yet and can reach `least` by their rarest shingles. Classes are the links'
+    components; class_id is the least doc_id of a class, and of its rows one is kept, with that id.
 
     Null text is empty; texts without words are one class. Texts under five words are alike if equal. Null ids are
     kept only in a class without other ids; rows repeated with their id are one class, and one of them is kept.
@@ -299,6 +387,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, shifts: int = SH
         rechecked = publish(verified(again, words, least), "near-checked")
         links = links.unionByName(rechecked.filter(F.col("similarity") >= least).select("a", "b"))
     roots = publish(components(links), "near-roots")
+    if not pending.isEmpty():
+        # All pairs of a bucket are linked by its hub, or one of them is pending: what can be missing is among these.
+        open_bands = publish(members.join(pending, "fp", "left_semi").select("band").distinct(), "near-open")
+        asked = with_mark(members, marks(open_bands, "band"), "open", "band").filter("open").select("fp").distinct()
+        asked = publish(asked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-asked")
+        chosen = publish(with_mark(words, marks(asked, "fp"), "asked", "fp").filter("asked").select("fp", "words"), "near-asked-words")
+        rest = publish(rest_pairs(chosen, asked, commonness(chosen), least), "near-rest")
+        rechecked = publish(verified(rest, chosen, least), "near-checked")
+        found = rechecked.filter(F.col("similarity") >= least).select("a", "b")
+        if not found.isEmpty():
+            roots = publish(components(links.unionByName(found)), "near-roots")
     rooted = nodes.select("fp", "doc_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = publish(rooted, "near-rooted")
     classes = publish(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-classes")

@@ -96,3 +96,27 @@ def test_components_of_chains_and_stars(spark):
     links = [(bytes([i]), bytes([i + 1])) for i in range(1, 20)] + [(bytes([100]), bytes([i])) for i in range(101, 140)]
     got = nd.components(spark.createDataFrame(links, "a binary, b binary")).collect()
     assert {bytes(r["node"]): bytes(r["root"]) for r in got} == {bytes([i]): bytes([1]) for i in range(2, 21)} | {bytes([i]): bytes([100]) for i in range(101, 140)}
+
+
+def passage_pairs(count, passage, own, edits):
+    """Pairs of near copies whose texts all hold one passage, so that every two are somewhat alike."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    common, rows = [word() for _ in range(passage)], []
+    for i in range(count):
+        text = common + [word() for _ in range(own)]
+        copy = list(text)
+        for at in rng.sample(range(7, len(text) - 7, 7), edits[i % len(edits)]):
+            copy[at] = word()
+        rows += [" ".join(text), " ".join(copy)]
+    return list(enumerate(rows, 1))
+
+
+def test_pairs_within_a_shared_passage(spark):
+    rows = passage_pairs(1000, 190, 30, (2, 3, 4))
+    words = nd.WordHashes()
+    grams = [nd.shingles(words(t), nd.SHINGLE) for _, t in rows]
+    assert all(0.8 <= nd.similarity(grams[i], grams[i + 1], 0.1) <= 0.92 for i in range(0, len(rows), 2))
+    assert max(nd.similarity(grams[0], g, 0.1) for g in grams[2:]) < 0.8
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - (i + 1) % 2 for i, _ in rows}
