@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,55 +17,104 @@ from .shared import ship
 
 TRAIN_DOCS = 8_000
 """Bound of the fitting sample: so many labelled documents, drawn evenly by a hash of their ids."""
-MODEL_WORDS = 80_000
-"""Bound of the model: so many (language, word) counts, the most frequent ones."""
 LONGEST = 5
 WORDS = re.compile(r"[^\W\d_]+")
 MEMO = 100_000
+GRAM_FACTORS = np.random.default_rng(7).integers(0, 2**63, 65, np.uint64) * np.uint64(2) + np.uint64(1)
 UNKNOWN = "und"
 
 
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n code points."""
+    if len(codes) < n:
+        return np.empty(0, np.uint64)
+    total = np.full(len(codes) - n + 1, n, np.uint64) * GRAM_FACTORS[0]
+    for i in range(n):
+        total += codes[i : len(codes) - n + 1 + i] * GRAM_FACTORS[1 + i % (len(GRAM_FACTORS) - 1)]
+    return total
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class Hashed:
+    """Rows of a table by 64-bit hashes, held as one sorted array."""
+
+    def __init__(self, keys: np.ndarray, hashed=word_hash):
+        self.keys, self.hashed = keys, hashed
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of those hashes that are known."""
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        return at[self.keys[at] == hashes] if len(self.keys) else at[:0]
+
+    def get(self, key: str) -> int | None:
+        found = self.rows(np.array([self.hashed(key)], np.uint64))
+        return int(found[0]) if len(found) else None
+
+    def __getitem__(self, key: str) -> int:
+        if (row := self.get(key)) is None:
+            raise KeyError(key)
+        return row
+
+
 class WordFirstModel:
-    """Log frequencies by language: of known words, and of their n-grams for words that are unseen."""
+    """Log frequencies by language: of known words, and of their n-grams for words that are unseen.
+
+    Words and n-grams are held as hashes in sorted arrays, 8 bytes each and 4 for each language.
+    """
 
     def __init__(self, counts: Iterable[tuple[str, str, int]], longest: int = LONGEST):
         self.longest = longest
-        words: dict[str, Counter] = defaultdict(Counter)
-        grams: dict[str, Counter] = defaultdict(Counter)
-        for lang, word, n in counts:
-            words[lang][word] += n
-            for gram in self.grams(word):
-                grams[lang][gram] += n
-        self.languages = sorted(words)
-        self.prior = [words[lang].total() for lang in self.languages]
-        self.words, self.word_logs = self.logs(words, lambda _: 0)
-        self.by_gram, self.gram_logs = self.logs(grams, len)
-
-    def logs(self, counts: dict[str, Counter], level) -> tuple[dict[str, int], np.ndarray]:
-        """Each entry's row in a table of smoothed log frequencies, by language, among the entries of its level."""
-        rows = {key: i for i, key in enumerate(sorted(set().union(*counts.values())))}
-        table = np.zeros((len(rows), len(self.languages)))
-        for column, lang in enumerate(self.languages):
-            own = counts[lang]
-            table[[rows[k] for k in own], column] = list(own.values())
-        levels = np.array([level(k) for k in rows], int)
-        for n in set(levels.tolist()):
-            part = levels == n
-            table[part] = np.log((table[part] + 0.5) / (table[part].sum(axis=0) + 0.5 * part.sum()))
-        return rows, table.astype(np.float32)
-
-    def grams(self, word: str) -> list[str]:
-        marked = f"^{word}$"
-        return [marked[i : i + n] for n in range(1, self.longest + 1) for i in range(len(marked) - n + 1)]
+        langs, words, numbers = map(list, tuple(zip(*counts)) or ((), (), ()))
+        self.languages = sorted(set(langs))
+        place = {lang: i for i, lang in enumerate(self.languages)}
+        columns, numbers = np.array([place[lang] for lang in langs], np.int64), np.array(numbers, float)
+        self.prior = [int(numbers[columns == i].sum()) for i in range(len(self.languages))]
+        hashes = np.array([word_hash(w) for w in words], np.uint64)
+        keys, table = self.table(hashes, columns, numbers)
+        self.words, self.word_logs = Hashed(keys), self.logs(table)
+        marked = code_points("".join(f"^{w}$" for w in words))
+        lengths = np.array([len(w) + 2 for w in words], np.int64)
+        ends = np.repeat(np.cumsum(lengths), lengths)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        grams, logs = [], []
+        for n in range(1, longest + 1):
+            inside = np.flatnonzero(np.arange(len(marked)) + n <= ends)
+            found = gram_hashes(marked, n)[inside] if len(inside) else np.empty(0, np.uint64)
+            keys, table = self.table(found, columns[owner[inside]], numbers[owner[inside]])
+            grams.append(keys)
+            logs.append(self.logs(table))
+        order = np.argsort(np.concatenate(grams))
+        self.by_gram, self.gram_logs = Hashed(np.concatenate(grams)[order]), np.concatenate(logs)[order]
+
+    def table(self, hashes: np.ndarray, columns: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes, sorted, and each one's counts by language."""
+        keys, rows = np.unique(hashes, return_inverse=True)
+        width = len(self.languages)
+        counts = np.bincount(rows * width + columns, numbers, len(keys) * width) if len(keys) else np.zeros(0)
+        return keys, counts.reshape(len(keys), width)
+
+    def logs(self, table: np.ndarray) -> np.ndarray:
+        """Smoothed log frequencies of the counts, among one another."""
+        return np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table))).astype(np.float32)
 
     def score_word(self, word: str) -> np.ndarray:
         """Log frequency of a known word; else the mean over its known n-grams of the greatest length that has any."""
         if (known := self.words.get(word)) is not None:
             return self.word_logs[known]
         for n in range(self.longest, 0, -1):
-            marked = f"^{word}$" if n > 1 else word
-            found = [g for i in range(len(marked) - n + 1) if (g := self.by_gram.get(marked[i : i + n])) is not None]
-            if found:
+            found = self.by_gram.rows(gram_hashes(code_points(f"^{word}$" if n > 1 else word), n))
+            if len(found):
                 return self.gram_logs[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
@@ -97,16 +147,19 @@ class Predictor:
         return self.model.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
-def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int = MODEL_WORDS) -> WordFirstModel:
+def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int | None = None) -> WordFirstModel:
     """Fit on (key, text, lang) rows with non-null lang: at most about max_docs of them, drawn by a hash of key.
 
-    Spark counts the sample's words; the driver gets the most frequent max_words (language, word) counts.
+    Spark counts the sample's words; the driver gets all (language, word) counts, or the most frequent max_words.
     """
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = min(1.0, max_docs / max(1, labelled.count()))
     sample = labelled.filter(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).filter("word != ''")
-    top = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(max_words).toArrow()
+    counts = words.groupBy("lang", "word").count()
+    if max_words is not None:
+        counts = counts.orderBy(F.desc("count"), "lang", "word").limit(max_words)
+    top = counts.toArrow()
     return WordFirstModel(zip(*(top.column(c).to_pylist() for c in ("lang", "word", "count"))))
 
 

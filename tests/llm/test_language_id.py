@@ -58,3 +58,13 @@ def test_stage_drops_only_rejected_rows(spark, labelled):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "key long, text string, lang string")
     assert fit(df).languages == [] and identify_language(df, fit(df), "key").count() == 0
+
+
+def test_rare_languages_and_words_are_kept(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{''.join(rng.choices('abcdefghij', k=9))}" for _ in range(200)), "common") for i in range(500)] * 2
+    rows += [(5_000, "zuq xev olp", "seldom")]
+    model = fit(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "key long, text string, lang string"))
+    assert model.languages == ["common", "seldom"]
+    assert len(model.words) == len({w for _, t, _ in rows for w in t.split()}) > 90_000
+    assert Predictor(model).predict("olp zuq")[0] == "seldom"
