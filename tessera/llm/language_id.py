@@ -191,7 +191,12 @@ def identify_language(docs: DataFrame, model: WordFirstModel, *keep: Column | st
 
 
 def drop_unidentified(docs: DataFrame, model: WordFirstModel, least: float = 0.5) -> DataFrame:
-    """docs without texts of no language or of a posterior under `least`; all columns stay as they are."""
+    """docs without texts of no language or of a posterior under `least`; all columns stay as they are.
+
+    A model that knows no language judges none: then only texts without letters go.
+    """
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language_of(docs.sparkSession, model, F.col("text"))
     rows = docs.select(F.struct("*").alias("row"), found.alias("found"))
     return rows.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")

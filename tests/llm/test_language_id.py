@@ -68,3 +68,8 @@ def test_rare_languages_and_words_are_kept(spark):
     assert model.languages == ["common", "seldom"]
     assert len(model.words) == len({w for _, t, _ in rows for w in t.split()}) > 90_000
     assert Predictor(model).predict("olp zuq")[0] == "seldom"
+
+
+def test_stage_keeps_texts_where_no_row_is_labelled(spark):
+    df = spark.createDataFrame([(1, "a text", None), (2, "12 34", None), (3, None, None), (4, "ñ", None)], "key long, text string, lang string")
+    assert sorted(r["key"] for r in drop_unidentified(df, fit(df)).collect()) == [1, 4]
