@@ -19,13 +19,11 @@ SIMILARITY = 0.8
 SKETCHES = 16
 SAMPLED = 3
 """Two texts of similarity s share one of the sketches with probability 1 - (1 - s**3)**16: all but 1e-5 at 0.8."""
-SHIFTS = 3
-DRAWS = 3
-"""Texts unlike their hub are linked within pairs of sketches, each joined with the next SHIFTS, with DRAWS texts of each, before all others are compared."""
 SLOT_BITS = 22
 BLOCK = 1 << 12
 """Shingles are counted in 2**22 slots by hash, sent in blocks; the table of orders that tasks get has a byte per slot."""
 MEMO = 300_000
+MANY = 16
 ODD = np.random.default_rng(2).integers(0, 2**63, 128, np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS, SEEDS, TURNS = ODD[:16], ODD[16:72], ODD[72:]
 """Fixed random odd numbers: factors of hashes, and the sketches' orders."""
@@ -103,11 +101,13 @@ def sketch(hashes: np.ndarray, sketches: int, sampled: int) -> list[int]:
 def aligned_matches(a: np.ndarray, b: np.ndarray, width: int) -> int:
     """Most matches of an order-preserving alignment of a and b that stays within `width` of the diagonal.
 
-    A bit vector holds a window of a; a zero bit is a place where the best count of matches steps up.
+    A bit vector holds a window of a; a zero bit is a place where the best count of matches steps up. Places of
+    shingles that occur more than MANY times are read from the window as a whole, so repetitive texts cost no more.
     """
     places: dict[int, list[int]] = {}
     for i, h in enumerate(a.tolist()):
         places.setdefault(h, []).append(i)
+    frequent = {h: np.uint64(h) for h, found in places.items() if len(found) > MANY}
     size = 2 * width + 1
     full = steps = (1 << size) - 1
     low = count = 0
@@ -120,9 +120,12 @@ def aligned_matches(a: np.ndarray, b: np.ndarray, width: int) -> int:
             steps = steps >> shift | full ^ (full >> shift)
             low += shift
         hits = 0
-        for i in places[h]:
-            if low <= i <= j + width:
-                hits |= 1 << (i - low)
+        if h in frequent:
+            hits = int.from_bytes(np.packbits(a[low : j + width + 1] == frequent[h], bitorder="little").tobytes(), "little")
+        else:
+            for i in places[h]:
+                if low <= i <= j + width:
+                    hits |= 1 << (i - low)
         kept = steps & hits
         steps = (steps + kept | steps - kept) & full
     return count + size - steps.bit_count()
@@ -186,12 +189,6 @@ def word_arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.mapInArrow(read, "fp binary, words binary").dropDuplicates(["fp"])
 
 
-def rows_named(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row of one row of every node in pairs."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    return nodes.join(named, "fp", "left_semi").select("row")
-
-
 def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) with their similarity, 0 where it is under `least`."""
 
@@ -209,39 +206,18 @@ def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_words", "b_words").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def hub_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b): every member a of a bucket with the bucket's hub b, one row per member and bucket.
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every member a of a bucket (fp, band, n) with the bucket's hub b, one row per member and bucket.
 
     The hub is the member whose other buckets are largest: in a group of copies of one text, that text or the copy
     nearest to it. So a bucket of n members gives n - 1 pairs.
     """
-    shared = publish(members.join(sizes, "band"), "near-members")
-    central = shared.groupBy("fp").agg(F.sum(F.log2("n")).alias("weight"))
-    weighed = shared.join(central, "fp").select("band", "fp", "weight")
+    central = members.groupBy("fp").agg(F.sum(F.log2("n")).alias("weight"))
+    weighed = members.join(central, "fp").select("band", "fp", "weight")
     hubs = publish(weighed.groupBy("band").agg(F.max(F.struct("weight", "fp")).alias("top")).select("band", F.col("top.fp").alias("b")), "near-hubs")
     return weighed.join(hubs, "band").filter(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
 
 
-def second_pairs(nodes: DataFrame, pending: DataFrame, linked: DataFrame, shifts: int = SHIFTS) -> DataFrame:
-    """(a, b): every pending text a with DRAWS other texts b of each of its finer buckets, so that rest_pairs has little left.
-
-    A finer bucket holds the texts that share two sketches, so they share twice as many shingles. Its b are drawn by
-    hashes, linked texts before others, so that a text meets many different ones. Only buckets that hold a pending
-    text are looked at, and each gives DRAWS pairs at most for each pending text in it.
-    """
-    def twos(step: int) -> Column:
-        after = lambda i: F.get(F.col("bands"), F.pmod(i + step, F.size("bands")))
-        return F.transform("bands", lambda band, i: F.xxhash64(F.lit(step), band, after(i)))
-
-    twice = F.flatten(F.array(*[twos(step) for step in range(1, shifts + 1)]))
-    keyed = nodes.select("fp", F.explode(F.array_distinct(twice)).alias("key"))
-    asked = publish(keyed.join(pending, "fp", "left_semi"), "near-asked")
-    others = with_mark(with_mark(keyed, marks(asked, "key"), "shared", "key").filter("shared"), marks(linked, "fp"), "linked", "fp")
-    drawn = [F.max(F.struct(F.col("linked"), F.xxhash64("fp", "key", F.lit(d)).alias("draw"), F.col("fp")))["fp"] for d in range(DRAWS)]
-    hubs = publish(others.groupBy("key").agg(F.array(*drawn).alias("bs")).select("key", F.explode(F.array_distinct("bs")).alias("b")), "near-drawn")
-    return asked.join(hubs, "key").filter(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
-
-
 def slots_of(named: np.ndarray) -> np.ndarray:
     return (named >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -353,56 +329,56 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         edges = publish(star(star(edges, large=True), large=False), "links")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, shifts: int = SHIFTS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, class_id, row (a hash of id and text), class_fp, kept.
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, class_id, row (a hash of id and text), class_fp, n_links, kept.
 
     Texts of equal word sequences (lower case, white space and punctuation aside) are one node. Each node is
     sketched: every sketch takes the least SAMPLED of the text's five-word shingles, labelled by occurrence, and
     keeps them in text order. Nodes that share a sketch are compared with their bucket's hub by banded alignment
-    of the shingles, and pairs of similarity `least` or more are links. Members that are not like their hub are
-    compared with some of the finer buckets of two sketches; then all texts of buckets with such members are
-    compared that are not linked yet and can reach `least` by their rarest shingles. Classes are the links'
-    components; class_id is the least doc_id of a class, and of its rows one is kept, with that id.
+    of the shingles, and pairs of similarity `least` or more are links. Buckets whose members are in one class then
+    are done. Of the others all texts are compared that are in different classes and can reach `least` by their
+    rarest shingles, so no link between classes is lost. Classes are the links' components; class_id is the least
+    doc_id of a class, and of its rows one is kept, with that id. n_links counts the node's links that were needed
+    to find its class, and its rows' equal texts beyond the first.
 
     Null text is empty; texts without words are one class. Texts under five words are alike if equal. Null ids are
     kept only in a class without other ids; rows repeated with their id are one class, and one of them is kept.
-    Other columns are ignored. An empty table gives no rows.
+    Other columns are ignored. An empty table gives no rows. Very long texts are sketched and aligned whole: the
+    alignment's time is their length times the width of its band, its memory their length.
     """
     ship(docs.sparkSession)
     signed = publish(signatures(docs), "near-signatures")
-    nodes = publish(signed.groupBy("fp").agg(F.first("bands").alias("bands"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "near-nodes")
+    nodes = publish(
+        signed.groupBy("fp").agg(F.first("bands").alias("bands"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "near-nodes"
+    )
     banded = nodes.select("fp", F.explode("bands").alias("band"))
     sizes = publish(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
-    members = with_mark(banded, marks(sizes, "band"), "shared", "band").filter("shared").select("fp", "band")
-    pairs = publish(hub_pairs(members, sizes).select("a", "b").distinct(), "near-pairs")
-    words = publish(word_arrays(docs, rows_named(nodes, pairs)), "near-words")
+    members = publish(with_mark(banded, marks(sizes, "band"), "shared", "band").filter("shared").select("fp", "band").join(sizes, "band"), "near-members")
+    pairs = publish(hub_pairs(members).select("a", "b").distinct(), "near-pairs")
+    named = members.select("fp").distinct()
+    words = publish(word_arrays(docs, nodes.join(named, "fp", "left_semi").select("row")), "near-words")
     checked = publish(verified(pairs, words, least), "near-checked")
     links = checked.filter(F.col("similarity") >= least).select("a", "b")
-    pending = checked.filter(F.col("similarity") < least).select(F.col("a").alias("fp")).distinct()
-    if not pending.isEmpty():
-        linked = links.select(F.explode(F.array("a", "b")).alias("fp"))
-        again = publish(second_pairs(nodes, pending, linked, shifts).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        more = rows_named(nodes, again).join(rows_named(nodes, pairs), "row", "left_anti")
-        words = publish(word_arrays(docs, more), "near-words").unionByName(words)
-        rechecked = publish(verified(again, words, least), "near-checked")
-        links = links.unionByName(rechecked.filter(F.col("similarity") >= least).select("a", "b"))
-    roots = publish(components(links), "near-roots")
-    if not pending.isEmpty():
-        # All pairs of a bucket are linked by its hub, or one of them is pending: what can be missing is among these.
-        open_bands = publish(members.join(pending, "fp", "left_semi").select("band").distinct(), "near-open")
-        asked = with_mark(members, marks(open_bands, "band"), "open", "band").filter("open").select("fp").distinct()
-        asked = publish(asked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-asked")
+    roots = publish(components(links), "near-roots").withColumnRenamed("node", "fp")
+    placed = members.select("fp", "band").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_bands = publish(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band"), "near-open")
+    if not open_bands.isEmpty():
+        asked = with_mark(placed, marks(open_bands, "band"), "open", "band").filter("open").select("fp", "root").distinct()
+        asked = publish(asked, "near-asked")
         chosen = publish(with_mark(words, marks(asked, "fp"), "asked", "fp").filter("asked").select("fp", "words"), "near-asked-words")
         rest = publish(rest_pairs(chosen, asked, commonness(chosen), least), "near-rest")
         rechecked = publish(verified(rest, chosen, least), "near-checked")
         found = rechecked.filter(F.col("similarity") >= least).select("a", "b")
         if not found.isEmpty():
-            roots = publish(components(links.unionByName(found)), "near-roots")
-    rooted = nodes.select("fp", "doc_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = publish(rooted, "near-rooted")
+            links = links.unionByName(found)
+            roots = publish(components(links), "near-roots").withColumnRenamed("node", "fp")
+    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    known = nodes.select("fp", "doc_id", "copies").join(roots, "fp", "left").join(ends, "fp", "left")
+    linked = F.coalesce("n_links", F.lit(0).cast("long")) + F.col("copies") - 1
+    rooted = publish(known.select("fp", "doc_id", F.coalesce("root", "fp").alias("root"), linked.alias("n_links")), "near-rooted")
     classes = publish(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-classes")
-    named = publish(rooted.join(classes, "root").select("fp", "class_id", F.col("root").alias("class_fp")), "near-named")
-    labelled_rows = signed.select("doc_id", "row", "fp").join(named, "fp").select("doc_id", "class_id", "row", "class_fp")
+    named = publish(rooted.join(classes, "root").select("fp", "class_id", F.col("root").alias("class_fp"), "n_links"), "near-named")
+    labelled_rows = signed.select("doc_id", "row", "fp").join(named, "fp").select("doc_id", "class_id", "row", "class_fp", "n_links")
     return with_keeper(labelled_rows)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -120,3 +121,39 @@ def test_pairs_within_a_shared_passage(spark):
     assert max(nd.similarity(grams[0], g, 0.1) for g in grams[2:]) < 0.8
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - (i + 1) % 2 for i, _ in rows}
+
+
+def test_large_class_is_whole(spark):
+    """600 copies of one text, and a copy of each of them that is unlike the first text: one class, others apart."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    base, rows = [word() for _ in range(120)], []
+
+    def edited(text, places):
+        return [word() if i in places else w for i, w in enumerate(text)]
+
+    def plain_similarity(a, b):
+        grams = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in (a, b)]
+        m = lcs(*grams)
+        return m / (len(grams[0]) + len(grams[1]) - m)
+
+    for i in range(600):
+        child = edited(base, set(rng.sample(range(6, 60, 6), 2)))
+        rows += [child, edited(child, set(rng.sample(range(66, 114, 6), 2)))]
+        if i < 3:
+            assert plain_similarity(base, child) >= 0.8 and plain_similarity(*rows[-2:]) >= 0.8 > plain_similarity(base, rows[-1])
+    rows += [[word() for _ in range(120)] for _ in range(50)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([base, *rows])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in nd.near_duplicates(df).collect()}
+    assert all(got[i]["class_id"] == 0 for i in range(1201)) and all(got[i]["class_id"] == i for i in range(1201, 1251))
+    assert all(got[i]["n_links"] >= 1 for i in range(1201)) and all(got[i]["n_links"] == 0 for i in range(1201, 1251))
+
+
+def test_repetitive_texts_align_quickly():
+    words, began = nd.WordHashes(), time.time()
+    a = nd.shingles(words("one two three four five six seven " * 8000), 5)
+    b = nd.shingles(words("new " + "one two three four five six seven " * 7000 + "old one " * 2000), 5)
+    assert nd.similarity(a, a, 0.8) == 1
+    assert 0.5 < nd.similarity(a, b, 0.5) < 1
+    assert nd.sketch(nd.shingles(words("word " * 200_000), 5), 16, 3)
+    assert time.time() - began < 20
