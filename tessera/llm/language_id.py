@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ TRAIN_DOCS = 8_000
 LONGEST = 5
 WORDS = re.compile(r"[^\W\d_]+")
 MEMO = 100_000
+TOGETHER = 20_000
 GRAM_FACTORS = np.random.default_rng(7).integers(0, 2**63, 65, np.uint64) * np.uint64(2) + np.uint64(1)
 UNKNOWN = "und"
 
@@ -51,15 +53,16 @@ class Hashed:
     def __len__(self) -> int:
         return len(self.keys)
 
-    def rows(self, hashes: np.ndarray) -> np.ndarray:
-        """Rows of those hashes that are known."""
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return at[self.keys[at] == hashes] if len(self.keys) else at[:0]
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each hash, and whether it is that hash's."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
 
     def get(self, key: str) -> int | None:
-        found = self.rows(np.array([self.hashed(key)], np.uint64))
-        return int(found[0]) if len(found) else None
+        at, found = self.find(np.array([self.hashed(key)], np.uint64))
+        return int(at[0]) if found[0] else None
 
     def __getitem__(self, key: str) -> int:
         if (row := self.get(key)) is None:
@@ -108,55 +111,100 @@ class WordFirstModel:
         """Smoothed log frequencies of the counts, among one another."""
         return np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table))).astype(np.float32)
 
-    def score_word(self, word: str) -> np.ndarray:
-        """Log frequency of a known word; else the mean over its known n-grams of the greatest length that has any."""
-        if (known := self.words.get(word)) is not None:
-            return self.word_logs[known]
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """A row per word: its log frequencies if known; else the mean over its known n-grams of the greatest length that has any."""
+        out = np.zeros((len(words), len(self.languages)))
+        if not words:
+            return out
+        hashes = np.array([word_hash(w) for w in words], np.uint64)
+        at, known = self.words.find(hashes)
+        out[known] = self.word_logs[at[known]]
+        open_words = np.flatnonzero(~known)
         for n in range(self.longest, 0, -1):
-            found = self.by_gram.rows(gram_hashes(code_points(f"^{word}$" if n > 1 else word), n))
-            if len(found):
-                return self.gram_logs[found].mean(axis=0)
-        return np.zeros(len(self.languages))
+            if not len(open_words):
+                break
+            # Marks of a word's ends take no part in single letters.
+            marked = [f"^{words[i]}$" if n > 1 else words[i] for i in open_words]
+            codes, lengths = code_points("".join(marked)), np.array([len(w) for w in marked], np.int64)
+            ends, owner = np.repeat(np.cumsum(lengths), lengths), np.repeat(np.arange(len(marked)), lengths)
+            inside = np.flatnonzero(np.arange(len(codes)) + n <= ends)
+            if not len(inside):
+                continue
+            at, found = self.by_gram.find(gram_hashes(codes, n)[inside])
+            at, owner = at[found], owner[inside[found]]
+            counts = np.bincount(owner, minlength=len(marked))
+            for column in range(len(self.languages)):
+                sums = np.bincount(owner, self.gram_logs[at, column], len(marked))
+                out[open_words, column] = sums / np.maximum(counts, 1)
+            open_words = open_words[counts == 0]
+        return out
+
+    def score_word(self, word: str) -> np.ndarray:
+        return self.score_words([word])[0]
 
 
 class Predictor:
-    """Scores whole texts; rows of scored words are remembered up to MEMO of them."""
+    """Scores whole texts; rows of scored words are remembered up to MEMO of them, and new words are scored together."""
 
     def __init__(self, model: WordFirstModel):
-        self.model, self.rows, self.place, self.table = model, 0, {}, np.empty((MEMO, len(model.languages)))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORDS.findall(text.lower())) if text else {}
+        self.model, self.place, self.tables = model, {}, []
+
+    def predict_all(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        held: list[Counter] = []
+        new: dict[str, None] = {}
+        for text in texts:
+            words = Counter(WORDS.findall(text.lower())) if text else Counter()
+            held.append(words)
+            new.update((w, None) for w in words if w not in self.place)
+            if len(new) >= TOGETHER:
+                yield from self.settle(held, list(new))
+                held, new = [], {}
+        yield from self.settle(held, list(new))
+
+    def settle(self, held: list[Counter], new: list[str]) -> Iterator[tuple[str, float]]:
+        if len(self.place) + len(new) > MEMO:
+            self.place, self.tables = {}, []
+            new = list(dict.fromkeys(w for words in held for w in words))
+        if self.model.languages and new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.tables.append(self.model.score_words(new))
+            self.tables = [np.concatenate(self.tables)]
+        for words in held:
+            yield self.judge(words)
+
+    def judge(self, words: Counter) -> tuple[str, float]:
         if not self.model.languages or not any(letter.isalpha() for word in words for letter in word):
             return UNKNOWN, 0.0
-        total, counts, at = np.zeros(len(self.model.languages)), [], []
-        for word, n in words.items():
-            i = self.place.get(word)
-            if i is None:
-                if self.rows == MEMO:
-                    total += np.array(counts) @ self.table[at] if at else 0
-                    self.rows, self.place, counts, at = 0, {}, [], []
-                i = self.place[word] = self.rows
-                self.table[i] = self.model.score_word(word)
-                self.rows += 1
-            at.append(i)
-            counts.append(n)
-        total += np.array(counts, float) @ self.table[at]
+        at = np.fromiter((self.place[w] for w in words), np.int64, len(words))
+        total = np.fromiter(words.values(), float, len(words)) @ self.tables[0][at]
         # Equal scores go to the language with the most words, then to the first.
         best = max(range(len(total)), key=lambda i: (total[i], self.model.prior[i], -i))
         return self.model.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return next(self.predict_all([text]))
+
 
 def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int | None = None) -> WordFirstModel:
     """Fit on (key, text, lang) rows with non-null lang: at most about max_docs of them, drawn by a hash of key.
 
-    Spark counts the sample's words; the driver gets all (language, word) counts, or the most frequent max_words.
+    Words are taken as in prediction and counted by Spark; the driver gets all (language, word) counts of the sample,
+    or the most frequent max_words.
     """
+    ship(labelled.sparkSession)
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = min(1.0, max_docs / max(1, labelled.count()))
     sample = labelled.filter(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).filter("word != ''")
-    counts = words.groupBy("lang", "word").count()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                words = Counter(WORDS.findall(text.lower()))
+                columns = [pa.array([lang] * len(words), pa.string()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
+
+    words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("count"))
     if max_words is not None:
         counts = counts.orderBy(F.desc("count"), "lang", "word").limit(max_words)
     top = counts.toArrow()
@@ -176,7 +224,7 @@ def language_of(spark: SparkSession, model: WordFirstModel, text: Column) -> Col
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predictor = Predictor(shared.value)
         for texts in batches:
-            yield pd.DataFrame([predictor.predict(text) for text in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame(list(predictor.predict_all(texts)), columns=["lang_pred", "score"])
 
     return predict(text)
 
@@ -185,7 +233,7 @@ def identify_language(docs: DataFrame, model: WordFirstModel, *keep: Column | st
     """The columns `keep` of every row of docs (text, ...), with lang_pred and score.
 
     Each row is judged by its text alone, so repeated rows get equal results, and neither other columns nor null
-    ids matter. An empty table gives no rows.
+    ids matter. An empty table gives no rows. Very long texts are judged whole, in time linear in their length.
     """
     return docs.select(*keep, language_of(docs.sparkSession, model, F.col("text")).alias("found")).select("*", "found.*").drop("found")
 
@@ -193,7 +241,8 @@ def identify_language(docs: DataFrame, model: WordFirstModel, *keep: Column | st
 def drop_unidentified(docs: DataFrame, model: WordFirstModel, least: float = 0.5) -> DataFrame:
     """docs without texts of no language or of a posterior under `least`; all columns stay as they are.
 
-    A model that knows no language judges none: then only texts without letters go.
+    A model that knows no language judges none: then only texts without letters go. Null texts go; rows repeated in
+    full get one verdict; an empty table gives no rows; texts are judged whole however long they are.
     """
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
