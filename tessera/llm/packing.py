@@ -19,7 +19,6 @@ END_ID = 2
 ITEMS_PER_TASK = 32_000
 FAN_IN = 8
 SLACK = 4
-CARRY = 2048
 SPECIAL = "<|endoftext|>"
 
 
@@ -117,8 +116,23 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 BINNED = PIECE + ", task long, bin long, offset long, used long, closed boolean"
 
 
-def pack_round(items: DataFrame, capacity: int, slack: int, carry: int, last: bool) -> DataFrame:
-    """Pack the bins of each task's group anew; items have task, bin (theirs so far), offset in it, used."""
+def nth_of_its_kind(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.searchsorted(ordered, ordered)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - first
+    return out
+
+
+def pack_round(items: DataFrame, capacity: int, slack: int, fan_in: int, last: bool) -> DataFrame:
+    """Pack the bins of each task's group anew; items have task, bin (theirs so far), offset in it, used.
+
+    A task hands on fan_in open bins of each fill and closes the others, which no later round could fill: best fit
+    leaves a task one bin at most that is no more than half full, so a round over fan_in tasks has fan_in such bins
+    at most, each merge takes one, and so no more than fan_in of the fuller bins of any fill can find a partner.
+    """
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "ids_crc32", "offset"], kind="stable").reset_index(drop=True)
@@ -133,8 +147,7 @@ def pack_round(items: DataFrame, capacity: int, slack: int, carry: int, last: bo
         if last:
             closed[:] = True
         else:
-            open_bins = np.flatnonzero(~closed)
-            closed[open_bins[np.argsort(used[open_bins], kind="stable")[carry:]]] = True
+            closed |= nth_of_its_kind(used) >= fan_in
         frame["task"], frame["bin"] = key[0], place[whole]
         frame["offset"] += base[whole]
         frame["used"], frame["closed"] = used[frame["bin"]], closed[frame["bin"]]
@@ -151,22 +164,27 @@ def pack_documents(
     items_per_task: int = ITEMS_PER_TASK,
     fan_in: int = FAN_IN,
     slack: int = SLACK,
-    carry: int = CARRY,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, used.
 
     Documents (doc_id, text) become ids plus end_id and are cut only if longer than a sequence. Pieces are dealt by
     hash to tasks of about items_per_task and packed by best fit in descending size. Bins with at most `slack` ids
     of room are done; the others become the items of the next round, in which each task takes those of fan_in
-    tasks, until one task is left. A task hands on its emptiest `carry` bins at most and closes the rest as they
-    are, so the last task's work is bounded however large the input is; every piece is placed either way. Only
-    ids, lengths and checksums are shuffled, and each round is written to the shared folder.
+    tasks, until one task is left. A task hands on at most fan_in bins of each fill (see pack_round), so the last
+    task's work is bounded however large the input is, and nothing is lost by it. Only ids, lengths and checksums
+    are shuffled, and each round is written to the shared folder.
 
     Null text is the empty text (one id). Null ids and repeated rows are packed as rows of their own. Ties are
-    broken by id, so reruns give the same sequences. An empty table gives no rows.
+    broken by id, so reruns give the same sequences. Very long texts are cut whole into as many pieces as they need.
+    Other columns are ignored. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     items = publish(cut_documents(docs, tokenizer or tokenizer_file(), capacity, end_id), "pieces")
+    return pack_pieces(items, capacity, items_per_task, fan_in, slack)
+
+
+def pack_pieces(items: DataFrame, capacity: int = CAPACITY, items_per_task: int = ITEMS_PER_TASK, fan_in: int = FAN_IN, slack: int = SLACK) -> DataFrame:
+    """The packing of pieces (doc_id, piece, start, length, ids_crc32), each at most `capacity` long."""
     columns = [c.split()[0] for c in PIECE.split(", ")]
     full = items.filter(F.col("length") == capacity).select(
         *columns, (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("used")
@@ -183,7 +201,7 @@ def pack_documents(
     })
     done, number = full, 0
     while True:
-        packed = publish(pack_round(open_bins, capacity, slack, carry, tasks == 1), f"bins-{number}")
+        packed = publish(pack_round(open_bins, capacity, slack, fan_in, tasks == 1), f"bins-{number}")
         # Round, task and bin make the number; full pieces have odd ones.
         sequence = F.shiftleft((F.lit(number) * (1 << 36) + F.col("task")) * (1 << 16) + F.col("bin"), 1)
         done = done.unionByName(packed.filter("closed").select(*columns, sequence.alias("sequence_id"), "offset", "used"))

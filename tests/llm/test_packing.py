@@ -3,7 +3,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
@@ -60,10 +62,33 @@ def test_special_token_is_read_as_the_library_reads_it():
     assert ids == Tokenizer.from_file(packing.tokenizer_file()).encode("a<|endoftext|>b", add_special_tokens=False).ids and 50256 in ids
 
 
-def test_carry_bounds_what_a_task_hands_on(spark):
-    df = spark.createDataFrame([(i, "word " * 59) for i in range(300)], "doc_id long, text string")
-    got = packing.pack_documents(df, capacity=100, items_per_task=50, fan_in=2, carry=3).collect()
-    assert len(got) == 300 and len({r["sequence_id"] for r in got}) == 300
+def packed_sizes(spark, sizes, **kw):
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(sizes)), "piece": 0, "start": 0, "length": sizes, "ids_crc32": 0}))
+    got = packing.pack_pieces(df.select(*(F.col(c).cast("long") for c in df.columns)), **kw).toPandas()
+    by = got.groupby("sequence_id")["length"].sum()
+    assert len(got) == len(sizes) and by.max() <= kw.get("capacity", 1024)
+    return len(by)
+
+
+def test_bins_that_nothing_fits_are_closed(spark):
+    assert packed_sizes(spark, [60] * 300, capacity=100, items_per_task=50, fan_in=2) == 300
+
+
+def test_half_full_bins_waste_little(spark):
+    sizes = np.random.default_rng(1).integers(400, 625, 100_000)
+    assert packed_sizes(spark, sizes, items_per_task=8_000, fan_in=4) <= 1.01 * sizes.sum() / 1024
+
+
+def test_handing_on_some_bins_of_each_fill_loses_nothing(spark):
+    """One task over all bins of its children, against one over those that they hand on."""
+    rng = np.random.default_rng(2)
+    for capacity, low in ((64, 1), (64, 20), (200, 60)):
+        sizes = rng.integers(low, capacity, 4_000)
+        got = packed_sizes(spark, sizes, capacity=capacity, items_per_task=500, fan_in=8, slack=0)
+        tasks = [np.sort(part)[::-1] for part in np.array_split(sizes, 8)]
+        bins = np.concatenate([packing.best_fit(part, capacity)[2] for part in tasks])
+        whole = len(packing.best_fit(np.sort(bins)[::-1], capacity)[2])
+        assert abs(got - whole) <= 0.01 * whole + 2
 
 
 def test_empty_table(spark):
