@@ -23,6 +23,8 @@ PATH, WORDS, HIDDEN = 96, 48, 24
 NUMBERS = 6
 STEPS = 40_000
 """Blocks (padding included) that are labelled at once."""
+WINDOW = 200
+"""Longer pages are fitted in windows of so many blocks, so that a step's memory is bounded."""
 
 BLOCK = frozenset(
     "html head body title div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main aside header"
@@ -33,20 +35,130 @@ CLOSES_P = BLOCK - {"html", "head", "body", "label", "button", "select", "option
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style".split())
 RAW = frozenset("script style textarea title".split())
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 SAME = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tr": ("tr td th", ("table",)), "option": ("option", ("select",))}
-PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+NAME = re.compile(r"/?[A-Za-z][^\s/><]*")
+STOP = re.compile("[<>\"']")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+class Element:
+    """An open element: its step of the tag path, with what the path down to it adds up to. Paths share their beginnings."""
+
+    __slots__ = ("parent", "name", "step", "counts", "state")
+
+    def __init__(self, parent: Element | None, name: str, step: str):
+        self.parent, self.name, self.step = parent, name, step
+        self.counts = None
+        self.state = parent.state if parent else OPEN
+        if self.state != BESIDE:
+            words = set(step.split())
+            if self.state == OPEN and words & MAIN:
+                self.state = WITHIN
+            elif words & ASIDE:
+                self.state = BESIDE
+
+    def __iter__(self) -> Iterator[str]:
+        """The path's steps, from the page down."""
+        steps, at = [], self
+        while at is not None:
+            steps.append(at.step)
+            at = at.parent
+        return reversed(steps)
+
+    def slots(self) -> np.ndarray:
+        """How often the path's words fall in each slot, counted up to 2."""
+        chain, at = [], self
+        while at is not None and at.counts is None:
+            chain.append(at)
+            at = at.parent
+        counts = at.counts if at is not None else np.zeros(PATH, np.uint8)
+        for element in reversed(chain):
+            counts = element.counts = np.minimum(counts + step_slots(element.step, ""), 2)
+        return counts
+
+
+OPEN, WITHIN, BESIDE = range(3)
+"""Of a path: no article so far; in one; in something that says it is beside it."""
+
+
+class Tags:
+    """A page's markup, read once from left to right: every search that can fail is made once for the whole page."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.missing = page, page.rfind(">"), set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        if (found := self.page.find(what, at)) < 0:
+            self.missing.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at `at`, or -1; quoted values may hold it.
+
+        A quote that is never closed is an ordinary character, and < outside quotes says that this is no tag.
+        """
+        while m := STOP.search(self.page, at):
+            c, at = m[0], m.end()
+            if c == ">":
+                return at - 1
+            if c == "<":
+                return -1
+            if (closed := self.find(c, at)) >= 0:
+                at = closed + 1
+        return -1
+
+    def parts(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, name or text, attributes), kind one of text, raw (text as it is), open, close and inside (of a raw element)."""
+        page, at = self.page, 0
+        while at < len(page):
+            start = page.find("<", at)
+            if start != at:
+                stop = start if start >= 0 else len(page)
+                yield "text", page[at:stop], ""
+                at = stop
+                continue
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                at = stop + 3 if stop >= 0 else len(page)
+                continue
+            if page.startswith("<![CDATA[", at) and (stop := self.find("]]>", at)) >= 0:
+                yield "raw", page[at + 9 : stop], ""
+                at = stop + 3
+                continue
+            if page.startswith(("<!", "<?"), at) and at < self.last:
+                at = page.find(">", at) + 1
+                continue
+            m = NAME.match(page, at + 1) if at < self.last else None
+            stop = self.end(m.end()) if m else -1
+            if stop < 0:
+                yield "text", "<", ""
+                at += 1
+                continue
+            name, attributes, at = m[0].lower(), page[m.end() : stop], stop + 1
+            if name[0] == "/":
+                yield "close", name[1:], ""
+                continue
+            yield "open", name, attributes
+            if name in RAW:
+                ended = RAW_END[name].search(page, at)
+                yield "inside", page[at : ended.start() if ended else len(page)], ""
+                at = ended.end() if ended else len(page)
+
+
+def blocks(page: str) -> list[tuple[Element | tuple, str, int]]:
     """(tag path, text, characters in links) of every leaf block with text, in page order.
 
     A block ends where an element that makes a block of its own starts or ends; br is white space in it. Elements
     left open end with the one around them, a paragraph at the next block. Scripts, styles and comments are no text.
+    Time and memory are linear in the page's length, whatever its markup is like.
     """
-    stack: list[tuple[str, str]] = []
-    found: list[tuple[tuple[str, ...], str, int]] = []
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}
+    found: list[tuple[Element | tuple, str, int]] = []
     held: list[str] = []
     linked = 0
 
@@ -55,58 +167,54 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                found.append((tuple(e for _, e in stack), text, linked))
+                found.append((stack[-1] if stack else (), text, linked))
             held.clear()
         linked = 0
 
-    def close(names: tuple[str, ...] | frozenset[str], within: tuple[str, ...] = ()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
-
-    at, size = 0, len(page)
-    while at < size:
-        m = PART.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                held.append(html.unescape(piece) if "&" in piece else piece)
-                if any(tag == "a" for tag, _ in stack):
-                    linked += len(piece)
-            elif piece.startswith("<![CDATA["):
-                held.append(piece[9:-3])
-            continue
-        name = name.lower()
-        if m[1]:
-            if name in BLOCK:
+    def push(name: str, attributes: str) -> None:
+        places.setdefault(name, []).append(len(stack))
+        stack.append(Element(stack[-1] if stack else None, name, named(name, attributes)))
+
+    def close(names, within=()) -> None:
+        """End the innermost of these elements, unless one of `within` is inside it."""
+        last = lambda kinds: max((places[k][-1] for k in kinds if places.get(k)), default=-1)
+        if (at := last(names)) > last(within):
+            for element in stack[at:]:
+                places[element.name].pop()
+            del stack[at:]
+
+    name = ""
+    for kind, piece, attributes in Tags(page).parts():
+        if kind == "text":
+            held.append(html.unescape(piece) if "&" in piece else piece)
+            if places.get("a"):
+                linked += len(piece)
+        elif kind == "raw":
+            held.append(piece)
+        elif kind == "inside":
+            if name not in SILENT:
+                push(name, attributes_of_raw)
+                held.append(html.unescape(piece))
                 end_block()
-            if any(tag == name for tag, _ in stack):
                 close((name,))
-            continue
-        if name in BLOCK:
-            end_block()
-            if name in CLOSES_P:
-                close(("p",), ("body", "td", "button"))
-            if name in SAME:
-                close(tuple(SAME[name][0].split()), SAME[name][1])
-        if name == "br":
-            held.append(" ")
-        if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            inside, at = page[at : stop.start() if stop else size], stop.end() if stop else size
-            if name not in SILENT:
-                stack.append((name, named(name, m[3])))
-                held.append(html.unescape(inside))
+        elif kind == "close":
+            if piece in BLOCK:
                 end_block()
-                stack.pop()
-            continue
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, named(name, m[3])))
+            close((piece,))
+        else:
+            name = piece
+            if name in BLOCK:
+                end_block()
+                if name in CLOSES_P:
+                    close(("p",), ("body", "td", "button"))
+                if name in SAME:
+                    close(tuple(SAME[name][0].split()), SAME[name][1])
+            if name == "br":
+                held.append(" ")
+            if name in RAW:
+                attributes_of_raw = attributes
+            elif name not in VOID and not attributes.rstrip().endswith("/"):
+                push(name, attributes)
     end_block()
     return found
 
@@ -124,14 +232,15 @@ def slot(name: str, size: int) -> int:
 
 
 @lru_cache(maxsize=20_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH, np.float32)
-    for depth, step in enumerate(path):
-        for word in step.split():
-            out[slot(word, PATH)] += 1.0
-    for word in path[-1].split() if path else ():
-        out[slot(f"leaf {word}", PATH)] += 1.0
-    return np.minimum(out, 2.0)
+def step_slots(step: str, prefix: str) -> np.ndarray:
+    """How often the step's words fall in each slot, counted up to 2."""
+    return np.minimum(np.bincount([slot(prefix + word, PATH) for word in step.split()], minlength=PATH), 2).astype(np.uint8)
+
+
+def path_vector(path: Element | tuple) -> np.ndarray:
+    if not isinstance(path, Element):
+        return np.zeros(PATH, np.float32)
+    return np.minimum(path.slots() + step_slots(path.step, "leaf "), 2).astype(np.float32)
 
 
 class WordSlots(dict):
@@ -147,7 +256,7 @@ class WordSlots(dict):
 WORD_SLOTS = WordSlots()
 
 
-def vectors(page_blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(page_blocks: list[tuple[Element | tuple, str, int]]) -> np.ndarray:
     """A row per block: its tag path, its words by hash, and a few counts."""
     out = np.zeros((len(page_blocks), PATH + WORDS + NUMBERS), np.float32)
     for i, (path, text, linked) in enumerate(page_blocks):
@@ -263,11 +372,9 @@ ASIDE = frozenset(
 MAIN = frozenset("article main".split())
 
 
-def marked(path: tuple[str, ...]) -> bool:
+def marked(path: Element | tuple) -> bool:
     """The weak label of a block of a page with an article: inside it, and in nothing that says it is beside it."""
-    names = [set(step.split()) for step in path]
-    depth = next((i for i, n in enumerate(names) if n & MAIN), None)
-    return depth is not None and not any(n & ASIDE for n in names[depth + 1 :]) and not any(n & ASIDE for n in names[:depth])
+    return isinstance(path, Element) and path.state == WITHIN
 
 
 def made_page(rng: random.Random, words: list[str]) -> tuple[str, list[int]]:
@@ -366,8 +473,9 @@ def fit_labeller(pages: list[str], seed: int = 8) -> Labeller:
     words = [html.escape(w) for w in words]
     for page in parsed:
         labels = [marked(path) for path, _, _ in page]
-        if any(labels) and len(page) <= 200:
-            examples.append((vectors(page), np.array(labels, np.float32)))
+        if any(labels):
+            seen, right = vectors(page), np.array(labels, np.float32)
+            examples += [(seen[i : i + WINDOW], right[i : i + WINDOW]) for i in range(0, len(page), WINDOW)]
     for _ in range(MADE_PAGES):
         page, labels = made_page(rng, words)
         if len(found := blocks(page)) == len(labels):
@@ -396,7 +504,8 @@ def extract_main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html), from the whole html.
 
     Null html is empty, and so is the text of a page without main blocks. Each page is labelled by itself; repeated
-    rows, null ids and null urls pass as they are; other columns are ignored. An empty table gives no rows.
+    rows, null ids and null urls pass as they are; other columns are ignored. An empty table gives no rows. Very long
+    or broken pages are read whole, in time linear in their length; a page of n blocks takes about 2 KB times n.
     """
     ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(labeller.p)  # a fixed number of weights

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ def test_blocks():
         "<div>loose <b>bold</b><p>one<br>two &eacute;&#233; <i>x</i><p>three\n\n  four</div><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>&lt;tail"
     )
     assert texts(page) == ["T & t", "loose bold", "one two éé x", "three four", "a", "b", "c", "d", "<tail"]
-    paths = [p for p, _, _ in h.blocks("<article class='post big'><p>x</p></article><p>y")]
+    paths = [tuple(p) for p, _, _ in h.blocks("<article class='post big'><p>x</p></article><p>y")]
     assert paths == [("article post big", "p"), ("p",)]
 
 
@@ -84,3 +85,33 @@ def test_rows(spark, labeller):
     assert [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
     assert h.extract_main_text(df.limit(0), labeller).count() == 0
     assert isinstance(h.fit_on(df), h.Labeller)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["</p" * 350_000, "<div><i>x" * 110_000, '<a href="x ' * 90_000, '<a ">" ' * 140_000, "<![CDATA[x" * 100_000, "<" * 1_000_000, "<?x" * 300_000,
+     "<p><td>" + "<i>" * 100_000 + "<p>y" * 150_000, "<title>" * 140_000, "word " * 200_000],
+    ids=["end tags", "unclosed elements", "open quotes", "quoted ends", "open sections", "signs", "instructions", "deep paragraphs", "titles", "one word"],
+)
+def test_long_broken_pages_take_linear_time(page):
+    began = time.time()
+    found = h.blocks(page)
+    h.vectors(found)
+    assert time.time() - began < 20
+    assert sum(len(text) for _, text, _ in found) <= len(page)
+
+
+def test_open_quotes_and_signs_are_text_or_markup_as_browsers_read_them():
+    text = lambda page: [t for _, t, _ in h.blocks(page)]
+    assert text('<p title="a > b">one</p>') == ["one"]
+    assert text("<p>1 < 2 and 3 > 2</p>") == ["1 < 2 and 3 > 2"]
+    assert text('<p title="open>one</p><p>two</p>') == ["one", "two"]
+    assert text("<p>end </p") == ["end </p"]
+
+
+def test_long_pages_are_fitted_whole(monkeypatch):
+    seen = []
+    monkeypatch.setattr("tessera.llm.html_text.Labeller.fit", lambda self, pages: seen.extend(pages))
+    page = "<article>" + "".join(f"<p>word {i}</p>" for i in range(1_000)) + "</article><footer>end</footer>"
+    h.fit_labeller([page])
+    assert sum(len(x) for x, _ in seen[: -(-1_001 // 200)]) == 1_001 and max(len(x) for x, _ in seen) <= 200
