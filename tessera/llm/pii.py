@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 from math import exp, log
 
 import pyarrow as pa
@@ -20,13 +21,13 @@ KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 400
 """Bound of the sample of texts that the field is fitted on."""
 FIT_REGIONS = 600
-LONGEST = 14
-"""Bound of a span, in tokens."""
+LONGEST, MOST_DIGITS = 14, 24
+"""Bounds of a span that the field adds: its tokens, and its digits (a card has 19 at most)."""
 REACH = 32
 """Characters around a digit or an @ that the field reads."""
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
@@ -69,6 +70,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 OUTSIDE = "O"
+ROWS = 200_000
 
 
 def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -86,31 +88,39 @@ def shape(span: str) -> str:
 CUES = frozenset("tel telephone phone mobile fax call mail email contact card visa ip host".split())
 
 
-def features(text: str, kind: str, start: int, end: int) -> list[str]:
-    """Features of the span as a whole, of its edges, and of the word before it."""
-    span = text[start:end]
-    drawn, digits = shape(span), sum(c.isdigit() for c in span)
-    before, after = text[start - 1 : start], text[end : end + 1]
+def context(text: str, start: int) -> str:
     cue = re.search(r"([^\W\d_]+)\W*\Z", text[max(0, start - 12) : start])
+    return f"cue={cue[1].lower()}" if cue and cue[1].lower() in CUES else ""
+
+
+def named(text: str, start: int, end: int, drawn: str, plain: str, digits: int, numbers: int, octets: bool, cue: str) -> list[str]:
+    before, after = text[start - 1 : start], text[end : end + 1]
     names = [
         "bias",
         f"shape={drawn}" if len(drawn) <= 40 else "shape=long",
-        f"kinds={re.sub('[0-9]+', '9', drawn)[:40]}",
+        f"kinds={plain[:40]}",
         f"digits={min(digits, 20)}",
         f"edges={before.isalnum()}{after.isalnum()}",
         f"joined={before in '.-/:_@%#=' and before != ''}{after in '-/:_@%#=' and after != ''}",
     ]
-    if cue and cue[1].lower() in CUES:
-        names.append(f"cue={cue[1].lower()}")
+    if cue:
+        names.append(cue)
     if digits:
-        numbers = re.findall("[0-9]+", span)
-        names.append(f"octets={all(len(n) <= 3 and int(n) <= 255 for n in numbers)}{min(len(numbers), 6)}")
+        names.append(f"octets={octets}{min(numbers, 6)}")
         if 13 <= digits <= 19:
-            names.append(f"luhn={luhn(''.join(c for c in span if c in '0123456789'))}")
-    return [f"{kind}|{n}" for n in names]
+            names.append(f"luhn={luhn(''.join(c for c in text[start:end] if c in '0123456789'))}")
+    return names
 
 
-def may_start_or_end(text: str, start: int, end: int) -> bool:
+def features(text: str, start: int, end: int) -> list[str]:
+    """Features of the span as a whole, of its edges, and of the word before it."""
+    span = text[start:end]
+    drawn, numbers = shape(span), re.findall("[0-9]+", span)
+    octets = all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    return named(text, start, end, drawn, re.sub("[0-9]+", "9", drawn), sum(c.isdigit() for c in span), len(numbers), octets, context(text, start))
+
+
+def may_be_span(text: str, start: int, end: int) -> bool:
     """A span has a digit, an @ or one written out, is on one line, and starts and ends with a letter, a digit, + or a bracket."""
     span = text[start:end]
     return (
@@ -118,9 +128,47 @@ def may_start_or_end(text: str, start: int, end: int) -> bool:
         and (DIGITS.search(span) is not None or "@" in span or WRITTEN_OUT.search(span) is not None)
         and (span[0].isalnum() or span[0] in "+(")
         and (span[-1].isalnum() or span[-1] == ")")
+        and sum(c.isdigit() for c in span) <= MOST_DIGITS
     )
 
 
+class Region:
+    """The tokens of a stretch of text, and the features of all spans that may start at one of them, built token by token."""
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]]):
+        self.text, self.tokens = text, tokens
+        self.words = [text[a:b] for a, b in tokens]
+        self.drawn = [shape(w) for w in self.words]
+        self.plain = [re.sub("[0-9]+", "9", d) for d in self.drawn]
+        self.digits = [sum(map(str.isdigit, w)) for w in self.words]
+        self.number = ["0" <= w[0] <= "9" for w in self.words]
+        self.small = [not n or len(w) <= 3 and int(w) <= 255 for n, w in zip(self.number, self.words)]
+        self.ends = [w[-1].isalnum() or w == ")" for w in self.words]
+
+    def spans(self, i: int, most: int) -> Iterator[tuple[int, list[str]]]:
+        """(length, features) of the spans of at most `most` tokens that may start at token i, as features() gives them."""
+        text, (start, _) = self.text, self.tokens[i]
+        if not (self.words[i][0].isalnum() or self.words[i][0] in "+("):
+            return
+        cue, drawn, plain, digits, numbers, octets, marked, written, last = None, "", "", 0, 0, True, False, False, start
+        for j in range(i, i + most):
+            a, end = self.tokens[j]
+            if a > last:
+                if "\n" in text[last:a]:
+                    return
+                drawn, plain = drawn + "_", plain + "_"
+            last = end
+            drawn, digits = drawn + self.drawn[j], digits + self.digits[j]
+            plain += "" if self.plain[j] == "9" and plain.endswith("9") else self.plain[j]
+            if digits > MOST_DIGITS:
+                return
+            numbers, octets = numbers + self.number[j], octets and self.small[j]
+            marked, written = marked or self.number[j] or self.words[j] == "@", written or self.words[j] in ("at", "dot")
+            if self.ends[j] and (marked or written and WRITTEN_OUT.search(text[start:end])):
+                cue = context(text, start) if cue is None else cue
+                yield j - i + 1, named(text, start, end, drawn, plain, digits, numbers, octets, cue)
+
+
 class SemiMarkovField:
     """Segments of a region's tokens, each outside (one token) or a span of at most LONGEST tokens of one kind.
 
@@ -133,46 +181,71 @@ class SemiMarkovField:
 
     def __init__(self):
         self.weights: dict[str, float] = defaultdict(float)
+        self.rows: dict[str, tuple[float, ...]] = {}
 
-    def segments(self, text: str, tokens: list[tuple[int, int]], fixed: dict[int, tuple[str, int]] = {}) -> list[list[tuple[int, str]]]:  # noqa: B006
-        """For every token the (length, label) of segments that may end before the next; fixed spans allow no other."""
-        n, ending = len(tokens), [[] for _ in range(len(tokens) + 1)]
-        covered = set()
+    def segments(self, text: str, tokens: list[tuple[int, int]], fixed: dict[int, tuple[str, int]] = {}) -> list[list[tuple[int, str, list[str]]]]:  # noqa: B006
+        """For every token the (length, label, features) of segments that may end before the next; fixed spans allow no other.
+
+        The label of a span that may be of any kind is left empty.
+        """
+        region, n, ending = Region(text, tokens), len(tokens), [[] for _ in range(len(tokens) + 1)]
+        free, room = [True] * n, [0] * (n + 1)
         for i, (kind, length) in fixed.items():
-            ending[i + length].append((length, kind))
-            covered.update(range(i, i + length))
+            ending[i + length].append((length, kind, features(text, tokens[i][0], tokens[i + length - 1][1])))
+            free[i : i + length] = [False] * length
+        for i in range(n - 1, -1, -1):
+            room[i] = min(LONGEST, room[i + 1] + 1) if free[i] else 0
         for i in range(n):
-            if i in covered:
-                continue
-            ending[i + 1].append((1, OUTSIDE))
-            for length in range(1, min(LONGEST, n - i) + 1):
-                if i + length - 1 in covered:
-                    break
-                if may_start_or_end(text, tokens[i][0], tokens[i + length - 1][1]):
-                    ending[i + length] += [(length, kind) for kind in KINDS]
+            if free[i]:
+                ending[i + 1].append((1, OUTSIDE, [region.drawn[i] if tokens[i][1] - tokens[i][0] <= 12 else "long"]))
+                for length, names in region.spans(i, room[i]):
+                    ending[i + length].append((length, "", names))
         return ending
 
-    def names(self, text: str, tokens, stop: int, length: int, label: str) -> list[str]:
-        if label == OUTSIDE:
-            a, b = tokens[stop - 1]
-            return [f"O|{shape(text[a:b]) if b - a <= 12 else 'long'}"]
-        return features(text, label, tokens[stop - length][0], tokens[stop - 1][1])
-
-    def score(self, text: str, tokens, stop: int, length: int, label: str) -> float:
-        return sum(self.weights.get(name, 0.0) for name in self.names(text, tokens, stop, length, label))
+    def scores(self, names: list[str]) -> list[float]:
+        """The features' weights, summed for each of KINDS."""
+        total = [0.0] * len(KINDS)
+        for name in names:
+            row = self.rows.get(name)
+            if row is None:
+                row = tuple(self.weights.get(f"{kind}|{name}", 0.0) for kind in KINDS)
+                if len(self.rows) < ROWS:
+                    self.rows[name] = row
+            total = [a + b for a, b in zip(total, row)]
+        return total
+
+    def labelled(self, ending: list) -> list[list[tuple[int, str, list[str], float]]]:
+        """The segments with one label each, and their scores."""
+        out = []
+        for segments in ending:
+            own = []
+            for length, label, names in segments:
+                if label == OUTSIDE:
+                    own.append((length, label, names, self.weights.get(f"{OUTSIDE}|{names[0]}", 0.0)))
+                else:
+                    own += [(length, kind, names, score) for kind, score in zip(KINDS, self.scores(names)) if label in ("", kind)]
+            out.append(own)
+        return out
 
     def best(self, text: str, tokens: list[tuple[int, int]], fixed: dict[int, tuple[str, int]]) -> list[tuple[str, int, int]]:
         """The best segmentation's spans, as (label, first token, end)."""
-        ending = self.segments(text, tokens, fixed)
+        ending = self.labelled(self.segments(text, tokens, fixed))
+        every = ("^", *self.labels)
+        hops = {label: [(prev, self.weights.get(f"{prev}>{label}", 0.0)) for prev in every] for label in self.labels}
         top: list[dict[str, tuple]] = [{"^": (0.0, None)}] + [{} for _ in tokens]
+        entered: list[dict[str, tuple]] = [{} for _ in range(len(tokens) + 1)]  # best way into each label from here
         for stop in range(1, len(tokens) + 1):
-            for length, label in ending[stop]:
-                if not top[stop - length]:
+            here = top[stop]
+            for length, label, _, own in ending[stop]:
+                before = top[stop - length]
+                if not before:
                     continue
-                own = self.score(text, tokens, stop, length, label)
-                value, back = max((s + self.weights.get(f"{prev}>{label}", 0.0), prev) for prev, (s, _) in top[stop - length].items())
-                if label not in top[stop] or value + own > top[stop][label][0]:
-                    top[stop][label] = (value + own, (stop - length, back))
+                into = entered[stop - length]
+                if label not in into:
+                    into[label] = max((before[prev][0] + hop, prev) for prev, hop in hops[label] if prev in before)
+                value, back = into[label]
+                if label not in here or value + own > here[label][0]:
+                    here[label] = (value + own, (stop - length, back))
         found, stop = [], len(tokens)
         if not stop or not top[stop]:
             return []
@@ -186,8 +259,18 @@ class SemiMarkovField:
 
     def learn(self, text: str, tokens, gold: list[tuple[str, int, int]], rate: float) -> None:
         """One step up the gradient of the log likelihood: features of the marked segments less those expected."""
-        n, ending = len(tokens), self.segments(text, tokens)
-        scores = [[self.score(text, tokens, stop, a, b) for a, b in ending[stop]] for stop in range(n + 1)]
+        self.rows.clear()
+        n, known = len(tokens), self.labelled(self.segments(text, tokens))
+        ending = [[(length, label) for length, label, _, _ in part] for part in known]
+        scores = [[score for _, _, _, score in part] for part in known]
+        drawn = {(stop, length): names for stop, part in enumerate(known) for length, label, names, _ in part if label != OUTSIDE}
+
+        def names_of(stop: int, length: int, label: str) -> list[str]:
+            a, b = tokens[stop - length][0], tokens[stop - 1][1]
+            if label == OUTSIDE:
+                return [f"{OUTSIDE}|{shape(text[a:b]) if b - a <= 12 else 'long'}"]
+            return [f"{label}|{name}" for name in (drawn.get((stop, length)) or features(text, a, b))]
+
         hop = lambda a, b: self.weights.get(f"{a}>{b}", 0.0)
         ahead: list[dict[str, float]] = [{"^": 0.0}] + [{} for _ in range(n)]
         for stop in range(1, n + 1):
@@ -215,12 +298,12 @@ class SemiMarkovField:
                     if share > 1e-4:
                         step[f"{prev}>{label}"] -= rate * share
                 if expected > 1e-4:
-                    for name in self.names(text, tokens, stop, length, label):
+                    for name in names_of(stop, length, label):
                         step[name] -= rate * expected
         inside, at, prev = {a: (b, k) for k, a, b in gold}, 0, "^"
         while at < n:
             stop, label = inside.get(at, (at + 1, OUTSIDE))
-            for name in self.names(text, tokens, stop, stop - at, label):
+            for name in names_of(stop, stop - at, label):
                 step[name] += rate
             step[f"{prev}>{label}"] += rate
             at, prev = stop, label
@@ -330,15 +413,20 @@ def fit(texts: list[str], rounds: int = 3, seed: int = 5) -> dict[str, float]:
 
 def added_spans(field: SemiMarkovField, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the field's best segmentations in which the base spans are held fixed."""
-    found = []
+    found, free_from = [], 0
+    ordered = sorted(base, key=lambda s: s[1])
+    starts, reached = [a for _, a, _ in ordered], list(accumulate((b for _, _, b in ordered), max))
     for low, high in regions(text, base):
         tokens = tokens_of(text, low, high)
-        inside = [s for s in base if s[1] >= low and s[2] <= high]
-        fixed = place_on_tokens(tokens, inside)
+        inside = [s for s in ordered[bisect_left(starts, low) : bisect_left(starts, high)] if s[2] <= high]
+        fixed = place_on_tokens(tokens, sorted(inside, key=lambda s: KINDS.index(s[0])))
         for kind, a, b in field.best(text, tokens, fixed):
-            span = (kind, tokens[a][0], tokens[b - 1][1])
-            if all(span[2] <= s or span[1] >= e for _, s, e in base + found):
-                found.append(span)
+            start, end = tokens[a][0], tokens[b - 1][1]
+            # No base span reaches into it: those that start before its end end before its start.
+            before = bisect_left(starts, end)
+            if start >= free_from and (before == 0 or reached[before - 1] <= start):
+                found.append((kind, start, end))
+                free_from = end
     return found
 
 
@@ -350,7 +438,8 @@ def find_personal_data(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     spans has kind:start:end by kind as listed, then start; n_added of them are the field's. Offsets are code
     points of the whole text. Null text is empty; null ids and repeated rows get rows of their own; other columns
-    are ignored. A text without spans has the digest of the empty string.
+    are ignored. A text without spans has the digest of the empty string. An empty table gives no rows. Very long texts
+    are read whole: the patterns and the field take time in proportion to the text's length.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # bounded by the fitting sample

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -69,14 +70,14 @@ def test_best_segmentation_is_the_best_of_all(field):
     for _ in range(15):
         text, _ = pii.example(rng, ["the", "of", "word"])
         tokens = pii.tokens_of(text, 0, len(text))[:7]
-        ending = field.segments(text, tokens)
+        ending = field.labelled(field.segments(text, tokens))
 
         def every(stop):
             if stop == 0:
                 yield [], 0.0, "^"
-            for length, label in ending[stop] if stop else ():
+            for length, label, _, score in ending[stop] if stop else ():
                 for spans, value, prev in every(stop - length):
-                    own = field.score(text, tokens, stop, length, label) + field.weights.get(f"{prev}>{label}", 0.0)
+                    own = score + field.weights.get(f"{prev}>{label}", 0.0)
                     yield spans + ([(label, stop - length, stop)] if label != "O" else []), value + own, label
 
         want = max(every(len(tokens)), key=lambda x: x[1])[0]
@@ -100,3 +101,26 @@ def test_query_rows(spark):
     assert by[6]["spans"] == "ip:2:10"
     assert pii.find_personal_data(df.limit(0), {}).count() == 0
     assert pii.fit_on(df) and isinstance(pii.fit_on(df.limit(0)), dict)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab7.@-+ ()0²\n[]", max_size=40).map(lambda t: t + " at dot 12 at x dot"))
+def test_spans_built_token_by_token_are_those_of_the_plain_definition(text):
+    tokens = pii.tokens_of(text, 0, len(text))
+    region = pii.Region(text, tokens)
+    for i in range(len(tokens)):
+        most = min(pii.LONGEST, len(tokens) - i)
+        got = dict(region.spans(i, most))
+        want = [n for n in range(1, most + 1) if pii.may_be_span(text, tokens[i][0], tokens[i + n - 1][1])]
+        assert got == {n: pii.features(text, tokens[i][0], tokens[i + n - 1][1]) for n in want}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["7" * 1_000_000, "1.2." * 250_000, "a@" * 40_000, "+1 " * 300_000, "+1(((" * 200_000, "word " * 200_000, "1 " * 60_000, "10.0.0.1 x@y.zz " * 20_000, "12,345.67 " * 6_000],
+    ids=["digits", "numbers and dots", "at signs", "plus signs", "brackets", "one word", "single digits", "base spans", "number table"],
+)
+def test_long_texts_take_linear_time(field, text):
+    began = time.time()
+    pii.added_spans(field, text, pii.base_spans(text))
+    assert time.time() - began < 40
