@@ -8,6 +8,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 from math import exp, log
 
@@ -93,12 +94,30 @@ def context(text: str, start: int) -> str:
     return f"cue={cue[1].lower()}" if cue and cue[1].lower() in CUES else ""
 
 
-def named(text: str, start: int, end: int, drawn: str, plain: str, digits: int, numbers: int, octets: bool, cue: str) -> list[str]:
-    before, after = text[start - 1 : start], text[end : end + 1]
+Span = tuple[str, int, int, bool, str, str, str, bool | None]
+"""What features see of a span: its shape, digits, numbers, whether all could be octets, the characters beside it, the cue, and Luhn's test of 13 to 19 digits."""
+
+
+def seen(text: str, start: int, end: int, drawn: str, digits: int, numbers: int, octets: bool, cue: str) -> Span:
+    checked = luhn("".join(c for c in text[start:end] if c in "0123456789")) if 13 <= digits <= 19 else None
+    return drawn, digits, numbers, octets, text[start - 1 : start], text[end : end + 1], cue, checked
+
+
+def span_at(text: str, start: int, end: int) -> Span:
+    span = text[start:end]
+    numbers = re.findall("[0-9]+", span)
+    octets = all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    return seen(text, start, end, shape(span), sum(c.isdigit() for c in span), len(numbers), octets, context(text, start))
+
+
+@lru_cache(maxsize=100_000)
+def features(span: Span) -> tuple[str, ...]:
+    """Features of the span as a whole, of its edges, and of the word before it."""
+    drawn, digits, numbers, octets, before, after, cue, checked = span
     names = [
         "bias",
         f"shape={drawn}" if len(drawn) <= 40 else "shape=long",
-        f"kinds={plain[:40]}",
+        f"kinds={re.sub('[0-9]+', '9', drawn)[:40]}",
         f"digits={min(digits, 20)}",
         f"edges={before.isalnum()}{after.isalnum()}",
         f"joined={before in '.-/:_@%#=' and before != ''}{after in '-/:_@%#=' and after != ''}",
@@ -107,17 +126,9 @@ def named(text: str, start: int, end: int, drawn: str, plain: str, digits: int,
         names.append(cue)
     if digits:
         names.append(f"octets={octets}{min(numbers, 6)}")
-        if 13 <= digits <= 19:
-            names.append(f"luhn={luhn(''.join(c for c in text[start:end] if c in '0123456789'))}")
-    return names
-
-
-def features(text: str, start: int, end: int) -> list[str]:
-    """Features of the span as a whole, of its edges, and of the word before it."""
-    span = text[start:end]
-    drawn, numbers = shape(span), re.findall("[0-9]+", span)
-    octets = all(len(n) <= 3 and int(n) <= 255 for n in numbers)
-    return named(text, start, end, drawn, re.sub("[0-9]+", "9", drawn), sum(c.isdigit() for c in span), len(numbers), octets, context(text, start))
+        if checked is not None:
+            names.append(f"luhn={checked}")
+    return tuple(names)
 
 
 def may_be_span(text: str, start: int, end: int) -> bool:
@@ -139,34 +150,32 @@ class Region:
         self.text, self.tokens = text, tokens
         self.words = [text[a:b] for a, b in tokens]
         self.drawn = [shape(w) for w in self.words]
-        self.plain = [re.sub("[0-9]+", "9", d) for d in self.drawn]
         self.digits = [sum(map(str.isdigit, w)) for w in self.words]
         self.number = ["0" <= w[0] <= "9" for w in self.words]
         self.small = [not n or len(w) <= 3 and int(w) <= 255 for n, w in zip(self.number, self.words)]
         self.ends = [w[-1].isalnum() or w == ")" for w in self.words]
 
-    def spans(self, i: int, most: int) -> Iterator[tuple[int, list[str]]]:
-        """(length, features) of the spans of at most `most` tokens that may start at token i, as features() gives them."""
+    def spans(self, i: int, most: int) -> Iterator[tuple[int, Span]]:
+        """(length, span) of the spans of at most `most` tokens that may start at token i, as span_at() gives them."""
         text, (start, _) = self.text, self.tokens[i]
         if not (self.words[i][0].isalnum() or self.words[i][0] in "+("):
             return
-        cue, drawn, plain, digits, numbers, octets, marked, written, last = None, "", "", 0, 0, True, False, False, start
+        cue, drawn, digits, numbers, octets, marked, written, last = None, "", 0, 0, True, False, False, start
         for j in range(i, i + most):
             a, end = self.tokens[j]
             if a > last:
                 if "\n" in text[last:a]:
                     return
-                drawn, plain = drawn + "_", plain + "_"
+                drawn += "_"
             last = end
             drawn, digits = drawn + self.drawn[j], digits + self.digits[j]
-            plain += "" if self.plain[j] == "9" and plain.endswith("9") else self.plain[j]
             if digits > MOST_DIGITS:
                 return
             numbers, octets = numbers + self.number[j], octets and self.small[j]
             marked, written = marked or self.number[j] or self.words[j] == "@", written or self.words[j] in ("at", "dot")
             if self.ends[j] and (marked or written and WRITTEN_OUT.search(text[start:end])):
                 cue = context(text, start) if cue is None else cue
-                yield j - i + 1, named(text, start, end, drawn, plain, digits, numbers, octets, cue)
+                yield j - i + 1, seen(text, start, end, drawn, digits, numbers, octets, cue)
 
 
 class SemiMarkovField:
@@ -181,49 +190,47 @@ class SemiMarkovField:
 
     def __init__(self):
         self.weights: dict[str, float] = defaultdict(float)
-        self.rows: dict[str, tuple[float, ...]] = {}
+        self.rows: dict[Span, tuple[float, ...]] = {}
 
-    def segments(self, text: str, tokens: list[tuple[int, int]], fixed: dict[int, tuple[str, int]] = {}) -> list[list[tuple[int, str, list[str]]]]:  # noqa: B006
-        """For every token the (length, label, features) of segments that may end before the next; fixed spans allow no other.
+    def segments(self, text: str, tokens: list[tuple[int, int]], fixed: dict[int, tuple[str, int]] = {}) -> list[list[tuple[int, str, Span | str]]]:  # noqa: B006
+        """For every token the (length, label, span) of segments that may end before the next; fixed spans allow no other.
 
-        The label of a span that may be of any kind is left empty.
+        The label of a span that may be of any kind is left empty; a token outside has its shape alone.
         """
         region, n, ending = Region(text, tokens), len(tokens), [[] for _ in range(len(tokens) + 1)]
         free, room = [True] * n, [0] * (n + 1)
         for i, (kind, length) in fixed.items():
-            ending[i + length].append((length, kind, features(text, tokens[i][0], tokens[i + length - 1][1])))
+            ending[i + length].append((length, kind, span_at(text, tokens[i][0], tokens[i + length - 1][1])))
             free[i : i + length] = [False] * length
         for i in range(n - 1, -1, -1):
             room[i] = min(LONGEST, room[i + 1] + 1) if free[i] else 0
         for i in range(n):
             if free[i]:
-                ending[i + 1].append((1, OUTSIDE, [region.drawn[i] if tokens[i][1] - tokens[i][0] <= 12 else "long"]))
-                for length, names in region.spans(i, room[i]):
-                    ending[i + length].append((length, "", names))
+                ending[i + 1].append((1, OUTSIDE, region.drawn[i] if tokens[i][1] - tokens[i][0] <= 12 else "long"))
+                for length, span in region.spans(i, room[i]):
+                    ending[i + length].append((length, "", span))
         return ending
 
-    def scores(self, names: list[str]) -> list[float]:
-        """The features' weights, summed for each of KINDS."""
-        total = [0.0] * len(KINDS)
-        for name in names:
-            row = self.rows.get(name)
-            if row is None:
-                row = tuple(self.weights.get(f"{kind}|{name}", 0.0) for kind in KINDS)
-                if len(self.rows) < ROWS:
-                    self.rows[name] = row
-            total = [a + b for a, b in zip(total, row)]
-        return total
-
-    def labelled(self, ending: list) -> list[list[tuple[int, str, list[str], float]]]:
+    def scores(self, span: Span) -> tuple[float, ...]:
+        """The weights of the span's features, summed for each of KINDS."""
+        row = self.rows.get(span)
+        if row is None:
+            names = features(span)
+            row = tuple(sum(self.weights.get(f"{kind}|{name}", 0.0) for name in names) for kind in KINDS)
+            if len(self.rows) < ROWS:
+                self.rows[span] = row
+        return row
+
+    def labelled(self, ending: list) -> list[list[tuple[int, str, Span | str, float]]]:
         """The segments with one label each, and their scores."""
         out = []
         for segments in ending:
             own = []
-            for length, label, names in segments:
+            for length, label, span in segments:
                 if label == OUTSIDE:
-                    own.append((length, label, names, self.weights.get(f"{OUTSIDE}|{names[0]}", 0.0)))
+                    own.append((length, label, span, self.weights.get(f"{OUTSIDE}|{span}", 0.0)))
                 else:
-                    own += [(length, kind, names, score) for kind, score in zip(KINDS, self.scores(names)) if label in ("", kind)]
+                    own += [(length, kind, span, score) for kind, score in zip(KINDS, self.scores(span)) if label in ("", kind)]
             out.append(own)
         return out
 
@@ -263,13 +270,13 @@ class SemiMarkovField:
         n, known = len(tokens), self.labelled(self.segments(text, tokens))
         ending = [[(length, label) for length, label, _, _ in part] for part in known]
         scores = [[score for _, _, _, score in part] for part in known]
-        drawn = {(stop, length): names for stop, part in enumerate(known) for length, label, names, _ in part if label != OUTSIDE}
+        spans = {(stop, length): span for stop, part in enumerate(known) for length, label, span, _ in part if label != OUTSIDE}
 
         def names_of(stop: int, length: int, label: str) -> list[str]:
             a, b = tokens[stop - length][0], tokens[stop - 1][1]
             if label == OUTSIDE:
                 return [f"{OUTSIDE}|{shape(text[a:b]) if b - a <= 12 else 'long'}"]
-            return [f"{label}|{name}" for name in (drawn.get((stop, length)) or features(text, a, b))]
+            return [f"{label}|{name}" for name in features(spans.get((stop, length)) or span_at(text, a, b))]
 
         hop = lambda a, b: self.weights.get(f"{a}>{b}", 0.0)
         ahead: list[dict[str, float]] = [{"^": 0.0}] + [{} for _ in range(n)]

