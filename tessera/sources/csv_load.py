@@ -11,6 +11,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import publish
+
 # What counts as a number, a Boolean, a point, and names of coordinates.
 INT = r"^-?\d+$"
 FLOAT = r"^-?\d+(?:\.\d+)?$"
@@ -21,7 +23,12 @@ CODE = r"^-?0\d"
 LATITUDE = ("latitude", "lat", "latitud")
 LONGITUDE = ("longitude", "lng", "lon", "long", "longitud")
 SEPARATORS = ",;\t|"
-RESERVED = frozenset("select from where and or not match insert into values create table index using delete drop load file limit offset order by as between in knn set with primary key int float bool varchar text point vector".split())
+# Words that no column may be named.
+RESERVED = frozenset(
+    "create table primary key int float varchar text bool point vector index on using btree hash rtree inverted ivf insert into values select"
+    " from where limit offset heap sequential between and in knn delete true false file load drop match with as order by asc desc set count min max"
+    " sum avg".split()
+)
 SAMPLE_ROWS = 200
 MAX_ERRORS = 50
 
@@ -71,28 +78,53 @@ class CsvTable:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): physical lines with their numbers, from 1, without one task seeing them all.
+    """(line, place, value): physical lines with their numbers from 1, and with those in their own file.
+
+    The files of a folder follow one another by name. Rows are ordered by file block and place in it; only the
+    blocks' row counts, a row per block, are accumulated.
+    """
+    read = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = read.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    until = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumns({"before": until(Window.orderBy("file", "block")), "above": until(Window.partitionBy("file").orderBy("block"))})
+    here = F.col("id") - F.col("first") + 1
+    return read.join(starts.drop("n"), ["file", "block"]).select((F.col("before") + here).alias("line"), (F.col("above") + here).alias("place"), "block", "file", "value")
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(line, place, value): records, each with its first line; one goes on over line breaks within quotes.
 
-    Rows are ordered by file block and place in it; only the blocks' row counts are accumulated.
+    Files without such line breaks, which one pass over the quotes tells, keep their lines. Otherwise the quotes
+    before each block, a row per block, are accumulated, so that blocks are joined up without one task seeing all.
     """
-    read = spark.read.text(path).select(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"), "value")
-    blocks = read.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.withColumn("before", before).select("block", "first", "before")
-    return read.join(starts, "block").select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if lines.filter(quotes % 2 == 1).isEmpty():
+        return lines.select("line", "place", "value").filter(F.trim("value") != "")
+    counted = publish(lines.withColumn("quotes", quotes), "csv-lines")
+    total = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    held = counted.groupBy("file", "block").agg(F.sum("quotes").alias("n")).withColumn("held", F.coalesce(F.sum("n").over(total), F.lit(0))).drop("n")
+    run = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    opened = (F.col("held") + F.coalesce(F.sum("quotes").over(run), F.lit(0))) % 2 == 0
+    flagged = publish(counted.join(held, ["file", "block"]).withColumn("begins", opened.cast("int")), "csv-lines")
+    begun = flagged.groupBy("file", "block").agg(F.sum("begins").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(total), F.lit(0))).drop("n")
+    upto = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = flagged.join(begun, ["file", "block"]).withColumn("record", F.col("earlier") + F.sum("begins").over(upto))
+    parts = F.array_sort(F.collect_list(F.struct("line", "place", "value")))
+    whole = numbered.groupBy("file", "record").agg(parts.alias("parts"))
+    value = F.array_join(F.transform("parts", lambda x: x["value"]), "\n")
+    return whole.select(F.get("parts", 0)["line"].alias("line"), F.get("parts", 0)["place"].alias("place"), value.alias("value")).filter(F.trim("value") != "")
 
 
 def read_csv(spark: SparkSession, path: str) -> CsvTable:
-    """Read a CSV file with a header; the separator is sniffed from its first lines, blank lines are skipped.
+    """Read a CSV file, or a folder of files with equal headers; the separator is sniffed from the first lines, blank ones are skipped.
 
-    UTF-8, with or without a byte order mark, or else Latin-1. A record is one line. A missing, empty or repeated
-    header name is a ValueError.
+    UTF-8, with or without a byte order mark, or else Latin-1. Fields in quotes may hold line breaks. A missing,
+    empty or repeated header name is a ValueError.
     """
     lines = numbered_lines(spark, path)
     if not lines.filter(~F.is_valid_utf8("value")).isEmpty():
-        plain = spark.read.csv(path, sep="\u0001", quote="", encoding="ISO-8859-1", schema="value string")
-        lines = plain.select((F.monotonically_increasing_id() + 1).alias("line"), "value")
-    lines = lines.withColumn("value", F.regexp_replace("value", "^﻿|\r$", "")).filter(F.trim("value") != "")
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    lines = records(lines.withColumn("value", F.regexp_replace("value", "^\ufeff|\r$", "")))
     start = lines.orderBy("line").limit(20).collect()
     if not start:
         raise ValueError("the file is empty")
@@ -108,8 +140,9 @@ def read_csv(spark: SparkSession, path: str) -> CsvTable:
     names = [f"c{i}" for i in range(len(header))]
     # One column more than the header shows lines that are too long.
     schema = ", ".join(f"{n} string" for n in [*names, "more"])
-    parsed = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\u0001"})
-    rows = lines.filter(F.col("line") > start[0]["line"]).select("line", parsed.alias("r"))
+    parsed = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\u0001", "multiLine": "true"})
+    again = (F.col("place") == 1) & (F.col("value") == start[0]["value"])
+    rows = lines.filter((F.col("line") > start[0]["line"]) & ~again).select("line", parsed.alias("r"))
     missing = sum((F.col(f"r.{n}").isNull().cast("int") for n in names), F.lit(0))
     width = F.when(F.col("r.more").isNotNull(), len(names) + 1).otherwise(len(names) - missing)
     return CsvTable(header, rows.select("line", width.alias("width"), *[F.coalesce(f"r.{n}", F.lit("")).alias(n) for n in names]))
@@ -269,10 +302,12 @@ def load(table: CsvTable, specs: list[ColumnSpec], existing: DataFrame | None =
     rows = typed_rows(table, specs, pair)
     key = next((c.name for c in specs if c.primary_key and not c.auto), None)
     if key:
-        good = F.col("reason").isNull()
-        order = F.row_number().over(Window.partitionBy(key, good).orderBy("line"))
+        # Only rows with good cells and a key are ranked, so rejected ones meet in no group.
+        good = F.col("reason").isNull() & F.col(key).isNotNull()
+        order = F.row_number().over(Window.partitionBy(key).orderBy("line"))
         repeated = F.concat(F.lit(f"{key}: '"), F.col(key).cast("string"), F.lit("' is there already"))
-        rows = rows.withColumn("reason", F.when(good & (order > 1), repeated).otherwise(F.col("reason")))
+        ranked = rows.filter(good).withColumn("reason", F.when(order > 1, repeated))
+        rows = ranked.unionByName(rows.filter(~good))
         if existing is not None:
             held = existing.select(F.col(key).alias("_held")).distinct()
             rows = rows.join(held, F.col(key) == F.col("_held"), "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_held").isNotNull(), repeated).otherwise(F.col("reason"))).drop("_held")

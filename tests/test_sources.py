@@ -117,6 +117,60 @@ def test_serial_numbers_follow_the_order(spark):
     assert sorted((r["v"], r["id"]) for r in rows) == [(v, i + 10) for i, v in enumerate(sorted(values))]
 
 
+def test_serial_numbers_of_many_wide_rows(spark):
+    n = 600_000
+    wide = spark.range(0, n, 1, 12).select(F.pmod(F.xxhash64("id"), F.lit(n * 3)).alias("v"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 6).alias("w"))
+    got = tables.with_serial(wide, "v", "w").agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first()
+    assert tuple(got) == (n, n, 1, n)
+
+
+def test_declared_tables_and_files_appended(spark, tmp_path):
+    t = tables.Table(spark, str(tmp_path / "t")).declare([ColumnSpec("name", "VARCHAR", 5), ColumnSpec("n", "FLOAT")])
+    assert t.rows().dtypes == [("id", "int"), ("name", "string"), ("n", "double")]
+    t.insert(("a", 1.0), ("b", 2.0)).insert(("c", 3.0))
+    with pytest.raises(ValueError):
+        t.insert(("too long", 1.0))
+    assert t.load_csv(written(tmp_path, "name,n\nd,4\nlonger,5\ne,x\n", "more.csv"))["loaded"] == 1
+    assert sorted(map(tuple, t.rows().collect())) == [(1, "a", 1.0), (2, "b", 2.0), (3, "c", 3.0), (4, "d", 4.0)]
+    with pytest.raises(ValueError):
+        tables.Table(spark, str(tmp_path / "u"), "id").create(spark.createDataFrame([(1,), (1,)], "id int"))
+    t.drop()
+    assert not (tmp_path / "t").exists()
+    with pytest.raises(ValueError):
+        t.rows()
+
+
+def test_a_file_makes_a_table(spark, tmp_path):
+    t = tables.Table(spark, str(tmp_path / "t"))
+    assert t.load_csv(written(tmp_path, "id,lat,lng\n1,-12.5,77\n2,10,20\n")) == {"loaded": 2, "rejected": 0, "errors": []}
+    assert t.key == "id" and t.rows().filter("id = 1").select("location.x").first()[0] == -12.5
+    more = t.load_csv(written(tmp_path, "id,lat,lng\n2,1,1\n3,5,6\n3,7,8\n4,?,8\n", "more.csv"))
+    assert (more["loaded"], more["rejected"], [e["line"] for e in more["errors"]]) == (1, 3, [2, 4, 5])
+    assert sorted(r["id"] for r in t.rows().collect()) == [1, 2, 3]
+
+
+def test_line_breaks_in_quotes_and_folders(spark, tmp_path):
+    text = 'id,note\n1,"one\ntwo ""x"", three\n\nfour"\n2,plain\n\n3,"a\nb"\n'
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        rows = csv_load.read_csv(spark, written(tmp_path, text)).rows.orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["line"], r["c0"], r["c1"]) for r in rows] == [(2, "1", 'one\ntwo "x", three\n\nfour'), (6, "2", "plain"), (8, "3", "a\nb")]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i in range(3):
+        written(folder, "id,v\n" + "".join(f"{10 * i + j},x\n" for j in range(10)), f"part-{i}.csv")
+    table = csv_load.read_csv(spark, str(folder))
+    assert sorted(int(r["c0"]) for r in table.rows.collect()) == list(range(30))
+    assert table.rows.agg(F.count_distinct("line")).first()[0] == 30
+
+
+def test_words_of_the_language_are_no_columns():
+    assert [csv_load.identifier(n) for n in ("count", "MAX", "asc", "hash", "name")] == ["t_count", "t_max", "t_asc", "t_hash", "name"]
+
+
 def test_first_by_key(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 5, "c")], "k int, line int, v string")
     assert sorted(r["v"] for r in tables.first_by_key(df, "k", "line").collect()) == ["a", "c"]
