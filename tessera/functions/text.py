@@ -12,36 +12,75 @@ from pyspark.sql import functions as F
 
 from .stemming import stem
 
-STOPWORDS = frozenset(
-    # Common words of Spanish and English, without accents (fixed values).
-    "a al algo ante asi aun cada como con contra cual cuando de del desde donde dos el ella ellas ellos en entre era es esa ese eso esta este esto"
-    " fue ha hay la las le les lo los mas me mi mis mucho muy nada ni no nos o otra otro para pero poco por porque que quien se ser si sin sobre son"
-    " su sus tambien te tiene toda todo todos tu un una uno y ya yo"
-    " about after all also an and any are as at be because been but by can could did do does for from had has have he her his how i if in into is it"
-    " its just more my not of on or our out she so some than that the their them then there these they this to was we were what when which who will"
-    " with would you your".split()
-)
+# The stop words, without accents, of Spanish and of English.
+SPANISH_STOPS = """
+    a al algo algunas algunos ante antes como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre era erais
+    eran eras eres es esa esas ese eso esos esta estaba estado estais estamos estan estar estas este esto estos estoy fue fueron ha habeis
+    habia habian habias hace hacemos hacen hacer haces hacia han has hasta hay la las le les lo los mas me mi mis mucho muchos muy no nos
+    nosotros o otra otras otro otros para pero poco por porque que quien quienes se sea seais sean segun ser si sido siempre sin sobre sois
+    solo somos son soy su sus tambien te tiene tienen todo todos tu tus un una unas uno unos vosotros vuestra vuestro y ya yo
+"""
+ENGLISH_STOPS = """
+    a about above after again against all am an and any are as at be because been before being below between both but by can did do does
+    doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its
+    itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some
+    such than that the their theirs them themselves then there these they this those through to too under until up very was we were what
+    when where which while who whom why will with you your yours yourself yourselves
+"""
+STOPWORDS = frozenset(SPANISH_STOPS.split()) | frozenset(ENGLISH_STOPS.split())
 LANGUAGES = ("none", "spanish", "english")
 
 
-def accent_table() -> tuple[str, str]:
-    """(from, to) for translate(): letters to the base that their compatibility decomposition starts with; marks go."""
-    pairs, marks = {}, []
-    for code in range(0x80, 0x2200):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+def folded(character: str) -> str:
+    """The character's compatibility decomposition without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", character) if not unicodedata.combining(c))
+
+
+def folding_tables() -> tuple[tuple[str, str], dict[str, str]]:
+    """(from, to) for translate(): characters that fold to one other, then marks, which go; and those that fold to several.
+
+    Beyond U+21FF only those that give letters a-z or digits matter, as terms are made of these.
+    """
+    pairs, marks, longer = {}, [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        c = chr(code)
+        plain = folded(c)
+        if plain == c or code >= 0x2200 and not TERM.search(plain):
+            continue
         if not plain:
-            marks.append(chr(code))
-        elif len(plain) == 1 and plain != chr(code):
-            pairs[chr(code)] = plain
-    return "".join(pairs) + "".join(marks), "".join(pairs.values())
+            marks.append(c)
+        elif len(plain) == 1:
+            pairs[c] = plain
+        elif TERM.search(plain):
+            longer[c] = plain
+    return ("".join(pairs) + "".join(marks), "".join(pairs.values())), longer
+
+
+def character_class(characters) -> str:
+    """A regular expression for one of these characters, by ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
-ACCENTS = accent_table()
+TERM = re.compile("[a-z0-9]+")
+FOLDS, LONGER = folding_tables()
+BEYOND_ASCII, FOLDS_TO_SEVERAL = r"[^\x00-\x7F]", character_class(LONGER)
 
 
 def normal_text(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), *ACCENTS)
+    """Lower case without accents, compatibility forms (ligatures, full-width letters) as plain letters.
+
+    Texts of ASCII alone, and texts without characters that fold to several, skip the work for these.
+    """
+    low = F.lower(text)
+    several = F.create_map(*[F.lit(x) for pair in LONGER.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    return F.when(~low.rlike(BEYOND_ASCII), low).when(low.rlike(FOLDS_TO_SEVERAL), F.translate(spread, *FOLDS)).otherwise(F.translate(low, *FOLDS))
 
 
 def terms(text: Column, language: str = "none") -> Column:
@@ -54,8 +93,7 @@ def terms(text: Column, language: str = "none") -> Column:
     found = F.regexp_extract_all(normal_text(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
     if language == "none":
         return found
-    stops = F.array(*[F.lit(w) for w in sorted(STOPWORDS)])
-    return stems(language)(F.filter(found, lambda t: ~F.array_contains(stops, t)))
+    return stems(language)(F.filter(found, lambda t: ~t.isin(*sorted(STOPWORDS))))
 
 
 def stems(language: str):
@@ -77,8 +115,7 @@ def stems(language: str):
 
 def plain_terms(text: str, language: str = "none") -> list[str]:
     """terms() of a literal, on the driver."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    found = re.findall("[a-z0-9]+", flat)
+    found = TERM.findall(folded(text.lower()))
     return found if language == "none" else [stem(t, language) for t in found if t not in STOPWORDS]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match, query_words, terms
+from ..sources.scratch import publish
 from .relational import top
 
 
@@ -56,9 +57,10 @@ def nothing(df: DataFrame, key: str) -> DataFrame:
 def rank(df: DataFrame, key: str, text: str, query: str, language: str = "none") -> DataFrame:
     """df's rows that score, with cosine_score; term statistics are those of df, so filter first to rank within a subset.
 
-    One aggregation by row gives both its norm and its dot product with the query.
+    Postings are written once and read for the query's weights, the document frequencies and the scores. One
+    aggregation by row gives both its norm and its dot product with the query.
     """
-    counts, rows = postings(df, key, text, language), df.count()
+    counts, rows = publish(postings(df, key, text, language), "postings"), df.count()
     wanted, norm = query_weights(counts, rows, query, language)
     if not norm:
         return df.join(nothing(df, key), key)
@@ -80,7 +82,7 @@ class InvertedIndex:
 
     def __init__(self, df: DataFrame, path: str, key: str, text: str, language: str = "spanish"):
         self.path, self.key, self.language, self.spark = path, key, language, df.sparkSession
-        counts = postings(df, key, text, language)
+        counts = publish(postings(df, key, text, language), "postings")
         self.rows = df.count()
         weights = weighted(counts, self.rows)
         # A frequent term spreads over several files, so no task holds a term whole.

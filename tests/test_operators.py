@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions.stemming import english, spanish
-from tessera.functions.text import match, plain_terms, terms
+from tessera.functions.text import SPANISH_STOPS, STOPWORDS, match, plain_terms, terms
 from tessera.functions.vector import cosine_distance, parse_vector
 from tessera.operators import fulltext, recommend, relational, spatial, vectors
 from tessera.plans.results import show
@@ -173,3 +173,11 @@ def test_shown_results_are_capped(items):
     assert result["rowcount"] == 100 and result["truncated"] and len(result["spatial"]["points"]) == 100
     assert not show(lambda: items.limit(120), limited=True)["truncated"]
     assert show(lambda: relational.where(items, ("nope", "=", 1)))["stage"] == "semantic"
+
+
+def test_compatibility_forms_are_read_as_plain_letters(spark):
+    texts = ["ﬁle", "ＦＩＬＥ", "𝐟𝐢𝐥𝐞", "fïlé", "file", "½ cup", "naïve Ǆ"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(terms(F.col("t"))).collect()]
+    assert got == [plain_terms(t) for t in texts]
+    assert got[:5] == [["file"]] * 5
+    assert len(SPANISH_STOPS.split()) > 100 and {"through", "vosotros"} <= STOPWORDS
