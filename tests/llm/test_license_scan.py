@@ -1,7 +1,7 @@
 import random
 import re
 
-from tessera.llm.license_scan import PHRASES, scan_licenses
+from tessera.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
 
 
 def brute(text):
@@ -42,5 +42,57 @@ def test_templates_are_found_with_changes(spark):
     assert got[3] == ("cc-by-nc", 0, 1.0) and got[4] == ("", 0, 0.0) and got[5][0] == ""
 
 
+def brute_labels(text):
+    """Labels and score by a plain dynamic programme over all common pairs of neighbouring words, for the templates alone."""
+    words, found = re.findall("[a-z0-9]+", text.lower()), {}
+    for label, template in TEMPLATES:
+        t = template.split()
+        hits = [(i, j) for i in range(len(words) - 1) for j in range(len(t) - 1, -1, -1) if words[i : i + 2] == t[j : j + 2] and j + 1 < len(t)]
+        best = []
+        for n, (i, j) in enumerate(hits):
+            steps = [best[m] + min(2, j - b) for m, (a, b) in enumerate(hits[:n]) if a < i and b < j and abs(i - a - j + b) <= 3]
+            best.append(max(steps, default=2))
+        if best and max(best) >= 0.7 * len(t):
+            found[label] = max(found.get(label, 0), max(best) / len(t))
+    return set(found), max(found.values(), default=0.0)
+
+
+def test_labels_match_brute_force(spark):
+    rng, rows = random.Random(4), []
+    for n in range(250):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            piece = rng.choice(TEMPLATES)[1].split()
+            for _ in range(rng.randrange(0, 7)):
+                at = rng.randrange(len(piece))
+                if rng.random() < 0.4:
+                    del piece[at]
+                elif rng.random() < 0.6:
+                    piece.insert(at, rng.choice(["odd", "the", "license", *piece]))
+                else:
+                    a, b, c = sorted(rng.randrange(len(piece) + 1) for _ in range(3))
+                    piece = piece[:a] + piece[b:c] + piece[a:b] + piece[c:]
+                if len(piece) < 3:
+                    break
+            words += piece + [rng.choice(["x", "the", "and"])] * rng.randrange(0, 9)
+        rows.append((n, " ".join(words)))
+    rows.append((999, "in source and redistribution and use binary forms with or without modification that the following are permitted provided conditions are met"))
+    got = {r["doc_id"]: r for r in scanned(spark, rows)}
+    seen = set()
+    for n, text in rows:
+        labels, score = brute_labels(text)
+        base = {label for label, phrase in PHRASES if f" {phrase} " in f" {text} "}
+        assert set(got[n]["labels"].split(",")) - {""} == labels | base, text
+        assert abs(got[n]["score"] - (1.0 if base else score)) < 1e-9
+        seen.add(bool(labels))
+    assert seen == {True, False} and got[999]["score"] < 0.75
+
+
+def test_repeated_templates_in_one_text(spark):
+    text = " ".join(TEMPLATES[7][1] for _ in range(2_000)) + " the following conditions" * 20_000
+    got = scanned(spark, [(1, text)])[0]
+    assert (got["labels"], got["score"]) == ("bsd", 1.0)
+
+
 def test_empty_table(spark):
     assert scanned(spark, []) == []
