@@ -14,10 +14,11 @@ from .shared import bounded_sample, publish, ship
 PIVOTS = 32
 SAMPLE = 2_000
 """Bound of the sample that pivots and the first floors come from; every row is searched whatever it holds."""
-ROWS_PER_CELL = 4_096
-QUERIES_PER_CELL = 1_024
+ROWS_AT_ONCE, ROWS_PER_CELL = 4_096, 256
+BLOCK_MB = 16
+"""Queries are sent to all tasks in blocks of so many MB at most."""
 STEP = 256
-LIMIT = float(1 << 26)
+MOST = 2**63 - 1
 
 
 def usable(vector: Column) -> Column:
@@ -42,60 +43,111 @@ def farthest_first(rows: np.ndarray, count: int) -> np.ndarray:
 
 
 def inner(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; the components are integers held as doubles."""
-    if rows.size and np.abs(rows).max() * np.abs(query).max() * rows.shape[1] >= 2**53:
+    """Exact integer inner products; the components are integers held as doubles. Beyond a long, the nearest long."""
+    most = float(np.abs(rows).max()) * float(np.abs(query).max()) * rows.shape[1] if rows.size else 0.0
+    if most < 2**53:
+        return (rows @ query).astype(np.int64)
+    if most < 2**62:
         return rows.astype(np.int64) @ query.astype(np.int64)
-    return (rows @ query).astype(np.int64)
-
-
-def search_cell(query_id: int, query: np.ndarray, query_far: np.ndarray, ids: np.ndarray, rows: np.ndarray, far: np.ndarray, norms: np.ndarray, k: int, floor: float):
-    """The k best rows for one query, and how many rows were evaluated.
-
-    |q-x| is at least the greatest difference of their distances to a pivot, which bounds q.x from above by
-    (|q|^2 + |x|^2 - bound^2) / 2. Rows are evaluated from the highest bound on until the next one is below the
-    k-th score, or below the floor that k rows elsewhere reach. Equal bounds are evaluated too, for ties.
-    """
-    least = np.abs(far - query_far).max(axis=1)
-    least = np.maximum(0, least - 1e-9 * (far.max(axis=1) + query_far.max()) - 1e-6)
-    bounds = (float(query @ query) + norms - least * least) / 2
-    bounds += 1e-9 * np.abs(bounds) + 1e-6
-    order = np.flatnonzero((bounds >= floor) & (ids != query_id))
-    order = order[np.argsort(-bounds[order], kind="stable")]
-    best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-    done = 0
-    while done < len(order) and (len(best) < k or bounds[order[done]] >= best[-1]):
-        part = order[done : done + STEP]
-        done += len(part)
-        best_ids, best = np.concatenate([best_ids, ids[part]]), np.concatenate([best, inner(rows[part], query)])
-        top = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[top], best[top]
-    return best_ids, best, done
+    q = [int(x) for x in query]
+    return np.array([max(-MOST, min(MOST, sum(int(x) * y for x, y in zip(row, q)))) for row in rows], np.int64)
+
+
+def reach(gap: np.ndarray, query_norm: np.ndarray | float, norms: np.ndarray | float) -> np.ndarray:
+    """An upper bound of q.x = (|q|^2 + |x|^2 - |q-x|^2) / 2 from a lower bound of |q-x|, with room for rounding."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = query_norm + norms
+        bound = (total - np.maximum(0, gap * (1 - 1e-9)) ** 2) / 2 + 1e-9 * total + 1e-6
+    return np.where(np.isfinite(bound), bound, np.inf)
+
+
+class Cells:
+    """Rows of one dimension, ordered by their nearest pivot and cut to cells: each has the range of its distances to every pivot."""
+
+    def __init__(self, row_ids: np.ndarray, ids: np.ndarray, values: np.ndarray, far: np.ndarray):
+        order = np.lexsort((far.min(axis=1), far.argmin(axis=1)))
+        self.row_ids, self.ids, self.values, self.far = row_ids[order], ids[order], values[order], far[order]
+        with np.errstate(over="ignore"):
+            self.norms = np.einsum("ij,ij->i", self.values, self.values)
+        self.starts = np.arange(0, len(ids), ROWS_PER_CELL)
+        self.low, self.high = (f.reduceat(self.far, self.starts, axis=0) for f in (np.minimum, np.maximum))
+        self.most = np.maximum.reduceat(self.norms, self.starts)
+
+    def bounds(self, query_far: np.ndarray, query_norms: np.ndarray) -> np.ndarray:
+        """(query, cell): what no inner product of the query with a row of the cell exceeds."""
+        with np.errstate(invalid="ignore"):  # distances to huge vectors are infinite
+            gap = np.maximum(self.low[None] - query_far[:, None], query_far[:, None] - self.high[None]).max(axis=2)
+        return reach(gap, query_norms[:, None], self.most[None])
+
+    def best(self, row_id: int, query: np.ndarray, query_far: np.ndarray, norm: float, cells: np.ndarray, k: int, floor: float, ids: np.ndarray, scores: np.ndarray):
+        """The k best of (ids, scores) and of the cells' rows for one query, and how many rows were evaluated.
+
+        |q-x| is at least the greatest difference of their distances to a pivot. Rows are evaluated from the highest
+        bound on until the next one is below the k-th score, or below the floor that k rows elsewhere reach. Equal
+        bounds are evaluated too, for ties.
+        """
+        rows = np.concatenate([np.arange(s, min(s + ROWS_PER_CELL, len(self.ids))) for s in self.starts[cells]])
+        with np.errstate(invalid="ignore"):
+            gap = np.abs(self.far[rows] - query_far).max(axis=1)
+        bounds = reach(gap, norm, self.norms[rows])
+        held = (bounds >= floor) & (self.row_ids[rows] != row_id)
+        rows, bounds = rows[held], bounds[held]
+        order = np.argsort(-bounds, kind="stable")
+        done = 0
+        while done < len(order) and (len(scores) < k or bounds[order[done]] >= scores[-1]):
+            part = rows[order[done : done + STEP]]
+            done += len(part)
+            ids, scores = np.concatenate([ids, self.ids[part]]), np.concatenate([scores, inner(self.values[part], query)])
+            top = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[top], scores[top]
+        return ids, scores, done
+
+
+class Queries:
+    """A block of queries of one dimension, with the best that a task has found for each so far."""
+
+    def __init__(self, part: pd.DataFrame):
+        self.row_ids, self.ids, self.floors = part["row_id"].to_numpy(np.int64), part["vec_id"].to_numpy(np.int64), part["floor"].to_numpy(float)
+        self.values, self.far = matrix(part["x"], "<f8"), matrix(part["far"], "<f8")
+        with np.errstate(over="ignore"):
+            self.norms = np.einsum("ij,ij->i", self.values, self.values)
+
+    def look(self, cells: Cells, found: dict[int, tuple], k: int) -> None:
+        """Compare the queries with the cells that can hold one of their k best."""
+        at_once = max(1, 2_000_000 // max(1, cells.low.size))
+        for start in range(0, len(self.ids), at_once):
+            bounds = cells.bounds(self.far[start : start + at_once], self.norms[start : start + at_once])
+            for i, row in enumerate(bounds, start):
+                ids, scores, done = found.get(i, (np.empty(0, np.int64), np.empty(0, np.int64), 0))
+                least = max(self.floors[i], float(scores[-1]) if len(scores) == k else -np.inf)
+                if len(open_cells := np.flatnonzero(row >= least)):
+                    ids, scores, more = cells.best(self.row_ids[i], self.values[i], self.far[i], self.norms[i], open_cells, k, least, ids, scores)
+                    found[i] = (ids, scores, done + more)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
-    """Exact top k of every query row among all other rows of vectors (vec_id, embedding): query_id, rank, vec_id, score.
+    """Exact top k of every query row among all other rows of vectors (vec_id, embedding): query_id, rank, vec_id, score, evaluated.
 
     Components become floor(scale * x); the score is the integer inner product, ties go to the smaller vec_id. One
-    pass stores each row's distances to the pivots. Rows and queries are dealt to cells of bounded size, each cell
-    prunes with the pivot table, and the best k of the cells are merged by query. A floor for each query, its k-th
-    score in a bounded sample, spares work but decides nothing.
+    pass stores each row's distances to the pivots. Then the rows stay where they are: queries go to all tasks in
+    blocks of bounded size, a task cuts its rows to cells of like distances, skips the cells and then the rows whose
+    bound is below a query's k-th score, and hands on the k best for each query. A floor for each query, its k-th
+    score in a bounded sample, spares work but decides nothing. `evaluated` counts the rows whose score was computed.
 
     Rows whose vector is null or holds null or non-finite components take no part, nor do rows of null vec_id;
-    vectors are compared with those of their own dimension. Rows repeated in full count once; rows of one id with
-    different vectors are rows and queries of their own, none a candidate for the other. Scaled components beyond
-    2**26 in size count as 2**26, so that scores fit in a long. Empty tables give no rows.
+    vectors are compared with those of their own dimension. Only the query's own row is no candidate for it: rows
+    that repeat its id, or all of it, are, and are queries of their own. Scores beyond a long count as the nearest
+    long. Very long vectors make the blocks of queries smaller. Other columns are ignored; empty tables give no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = (
-        vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
-        .filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-        .dropDuplicates(["vec_id", "embedding"])
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query")).filter(
+        F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     )
     drawn = pd.DataFrame([(r["vec_id"], r["embedding"]) for r in bounded_sample(rows.select("vec_id", "embedding"), sample, "vec_id")], columns=["vec_id", "embedding"])
 
     def scaled(cells) -> np.ndarray:
-        return np.clip(np.floor(np.stack([np.asarray(c, float) for c in cells]) * scale), -LIMIT, LIMIT)
+        return np.floor(np.stack([np.asarray(c, float) for c in cells]) * scale)
 
     known: dict[int, tuple] = {}
     for size, part in drawn.groupby(drawn["embedding"].map(len)):
@@ -114,32 +166,54 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                     others = inner(seen[seen_ids != part["vec_id"].iat[i]], values[i])
                     if len(others) >= k:
                         floors[i] = np.partition(others, len(others) - k)[len(others) - k]
-                yield pd.DataFrame({"vec_id": part["vec_id"], "is_query": part["is_query"], "size": size, "floor": floors, "x": [v.tobytes() for v in values], "far": [v.tobytes() for v in far]})
-
-    prepared = publish(rows.mapInPandas(tabulate, "vec_id long, is_query boolean, size int, floor double, x binary, far binary"), "pivot-table")
-    counts = prepared.agg(F.count(F.lit(1)), F.coalesce(F.count_if("is_query"), F.lit(0))).first()
-    parts, blocks = max(1, -(-counts[0] // ROWS_PER_CELL)), max(1, -(-counts[1] // QUERIES_PER_CELL))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    renamed = [F.col(c).alias(f"row_{c}") for c in ("vec_id", "x", "far")]
-    data = prepared.select(*renamed, (F.col("size") + 0).alias("size"), place(parts, 1).alias("part"), all_of(blocks).alias("block"))
-    asked = prepared.filter("is_query").select("vec_id", "x", "far", "floor", "size", all_of(parts).alias("part"), place(blocks, 2).alias("block"))
-
-    def cell(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(data):
-            ids, values, far = data["row_vec_id"].to_numpy(np.int64), matrix(data["row_x"], "<f8"), matrix(data["row_far"], "<f8")
-            norms = np.einsum("ij,ij->i", values, values)
-            for query_id, q, q_far, floor in zip(queries["vec_id"], matrix(queries["x"], "<f8"), matrix(queries["far"], "<f8"), queries["floor"]):
-                found, scores, evaluated = search_cell(query_id, q, q_far, ids, values, far, norms, k, floor)
-                out += [(query_id, q.tobytes(), v, s, evaluated) for v, s in zip(found.tolist(), scores.tolist())]
-        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score", "evaluated"])
-
-    by = ["size", "part", "block"]
-    found = asked.groupBy(*by).cogroup(data.groupBy(*by)).applyInPandas(cell, "query_id long, q binary, vec_id long, score long, evaluated long")
-    ranked = found.groupBy("query_id", "q").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k).alias("best"), F.sum("evaluated").alias("evaluated")
-    )
-    return ranked.select("query_id", F.posexplode("best").alias("at", "hit")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.low")).alias("score")
+                yield pd.DataFrame({"row_id": part["row_id"], "vec_id": part["vec_id"], "is_query": part["is_query"], "size": size, "floor": floors, "x": [v.tobytes() for v in values], "far": [v.tobytes() for v in far]})
+
+    numbered = rows.withColumn("row_id", F.monotonically_increasing_id())  # written once, so they stay
+    prepared = publish(numbered.mapInPandas(tabulate, "row_id long, vec_id long, is_query boolean, size int, floor double, x binary, far binary"), "pivot-table")
+    asked = prepared.filter("is_query")
+    number, widest = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("x") + F.length("far")), F.lit(0))).first()
+    blocks = max(1, -(-number * (widest + 24) // int(BLOCK_MB * (1 << 20))))
+    found = None
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("row_id"), F.lit(blocks)) == block).toPandas()
+        best = best_of(prepared, part, k)
+        best = publish(best, "block-best") if blocks > 1 else best
+        found = best if found is None else found.unionByName(best)
+    return found.select("query_id", "evaluated", F.posexplode("best").alias("at", "hit")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.low")).alias("score"), "evaluated"
     )
+
+
+def best_of(prepared: DataFrame, part: pd.DataFrame, k: int) -> DataFrame:
+    """(query_id, best, evaluated) of a block of queries, over all prepared rows; each task sends k rows a query at most."""
+    known = {size: Queries(rows) for size, rows in part.groupby("size")}
+    shared = prepared.sparkSession.sparkContext.broadcast(known)  # at most BLOCK_MB
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries, held = shared.value, {}
+        found: dict[int, dict[int, tuple]] = {size: {} for size in queries}
+
+        def look(size: int) -> None:
+            rows = pd.concat(held.pop(size))
+            cells = Cells(rows["row_id"].to_numpy(np.int64), rows["vec_id"].to_numpy(np.int64), matrix(rows["x"], "<f8"), matrix(rows["far"], "<f8"))
+            queries[size].look(cells, found[size], k)
+
+        for frame in frames:
+            for size, rows in frame.groupby("size"):
+                if size in queries:
+                    held.setdefault(size, []).append(rows)
+                    if sum(map(len, held[size])) >= ROWS_AT_ONCE:
+                        look(size)
+        for size in list(held):
+            look(size)
+        for size, own in queries.items():
+            out = [
+                (own.row_ids[i], own.ids[i], v, s, done if n == 0 else 0)
+                for i, (ids, scores, done) in found[size].items()
+                for n, (v, s) in enumerate(zip(ids.tolist(), scores.tolist()))
+            ]
+            yield pd.DataFrame(out, columns=["row_id", "query_id", "vec_id", "score", "evaluated"])
+
+    local = prepared.select("row_id", "vec_id", "size", "x", "far").mapInPandas(scan, "row_id long, query_id long, vec_id long, score long, evaluated long")
+    hits = F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))
+    return local.groupBy("row_id", "query_id").agg(F.slice(F.sort_array(hits), 1, k).alias("best"), F.sum("evaluated").alias("evaluated")).drop("row_id")
