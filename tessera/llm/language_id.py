@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import publish, ship
 
 TRAIN_DOCS = 8_000
 """Bound of the fitting sample: so many labelled documents, drawn evenly by a hash of their ids."""
@@ -70,6 +70,19 @@ class Hashed:
         return row
 
 
+def hashed_rows(langs: Sequence[str], words: Sequence[str], numbers: Sequence[int], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, place of the word, hash, number): kind 0 has the words themselves, kind n their n-grams with marked ends, repeats included."""
+    numbers = np.asarray(numbers, np.int64)
+    yield 0, np.arange(len(words)), np.array([word_hash(w) for w in words], np.uint64), numbers
+    marked = code_points("".join(f"^{w}$" for w in words))
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    ends, owner = np.repeat(np.cumsum(lengths), lengths), np.repeat(np.arange(len(words)), lengths)
+    for n in range(1, longest + 1):
+        inside = np.flatnonzero(np.arange(len(marked)) + n <= ends)
+        if len(inside):
+            yield n, owner[inside], gram_hashes(marked, n)[inside], numbers[owner[inside]]
+
+
 class WordFirstModel:
     """Log frequencies by language: of known words, and of their n-grams for words that are unseen.
 
@@ -77,28 +90,33 @@ class WordFirstModel:
     """
 
     def __init__(self, counts: Iterable[tuple[str, str, int]], longest: int = LONGEST):
-        self.longest = longest
         langs, words, numbers = map(list, tuple(zip(*counts)) or ((), (), ()))
-        self.languages = sorted(set(langs))
+        parts = [(np.full(len(at), kind), np.array(langs, object)[at], hashes, number) for kind, at, hashes, number in hashed_rows(langs, words, numbers, longest)]
+        self.build(*(np.concatenate(x) for x in zip(*parts)), longest)
+
+    @classmethod
+    def of_rows(cls, kinds: np.ndarray, langs: np.ndarray, hashes: np.ndarray, numbers: np.ndarray, longest: int = LONGEST) -> WordFirstModel:
+        """The model of hashed rows that are counted already."""
+        model = cls.__new__(cls)
+        model.build(kinds, langs, hashes, numbers, longest)
+        return model
+
+    def build(self, kinds: np.ndarray, langs: np.ndarray, hashes: np.ndarray, numbers: np.ndarray, longest: int) -> None:
+        self.longest = longest
+        self.languages = sorted(set(langs.tolist()))
         place = {lang: i for i, lang in enumerate(self.languages)}
-        columns, numbers = np.array([place[lang] for lang in langs], np.int64), np.array(numbers, float)
-        self.prior = [int(numbers[columns == i].sum()) for i in range(len(self.languages))]
-        hashes = np.array([word_hash(w) for w in words], np.uint64)
-        keys, table = self.table(hashes, columns, numbers)
-        self.words, self.word_logs = Hashed(keys), self.logs(table)
-        marked = code_points("".join(f"^{w}$" for w in words))
-        lengths = np.array([len(w) + 2 for w in words], np.int64)
-        ends = np.repeat(np.cumsum(lengths), lengths)
-        owner = np.repeat(np.arange(len(words)), lengths)
-        grams, logs = [], []
-        for n in range(1, longest + 1):
-            inside = np.flatnonzero(np.arange(len(marked)) + n <= ends)
-            found = gram_hashes(marked, n)[inside] if len(inside) else np.empty(0, np.uint64)
-            keys, table = self.table(found, columns[owner[inside]], numbers[owner[inside]])
-            grams.append(keys)
-            logs.append(self.logs(table))
-        order = np.argsort(np.concatenate(grams))
-        self.by_gram, self.gram_logs = Hashed(np.concatenate(grams)[order]), np.concatenate(logs)[order]
+        columns = np.array([place[lang] for lang in langs.tolist()], np.int64)
+        self.prior = [int(numbers[(kinds == 0) & (columns == i)].sum()) for i in range(len(self.languages))]
+        tables = []
+        for kind in range(longest + 1):
+            own = kinds == kind
+            keys, table = self.table(hashes[own], columns[own], numbers[own])
+            tables.append((keys, self.logs(table)))
+        (keys, self.word_logs), grams = tables[0], tables[1:]
+        self.words = Hashed(keys)
+        every = np.concatenate([keys for keys, _ in grams])
+        order = np.argsort(every)
+        self.by_gram, self.gram_logs = Hashed(every[order]), np.concatenate([logs for _, logs in grams])[order]
 
     def table(self, hashes: np.ndarray, columns: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct hashes, sorted, and each one's counts by language."""
@@ -188,8 +206,8 @@ class Predictor:
 def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int | None = None) -> WordFirstModel:
     """Fit on (key, text, lang) rows with non-null lang: at most about max_docs of them, drawn by a hash of key.
 
-    Words are taken as in prediction and counted by Spark; the driver gets all (language, word) counts of the sample,
-    or the most frequent max_words.
+    Spark counts the sample's words, taken as in prediction, and their n-grams, both as hashes; the driver gets these
+    counts, of all words of the sample or of the most frequent max_words.
     """
     ship(labelled.sparkSession)
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -203,12 +221,24 @@ def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int | None =
                 columns = [pa.array([lang] * len(words), pa.string()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for kind, at, hashes, numbers in hashed_rows(langs, batch.column("word").to_pylist(), batch.column("count").to_numpy(), LONGEST):
+                columns = [pa.array(np.full(len(at), kind, np.int32)), batch.column("lang").take(pa.array(at)), pa.array(hashes.view(np.int64)), pa.array(numbers)]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "lang", "hash", "n"])
+
     words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     counts = words.groupBy("lang", "word").agg(F.sum("n").alias("count"))
     if max_words is not None:
         counts = counts.orderBy(F.desc("count"), "lang", "word").limit(max_words)
-    top = counts.toArrow()
-    return WordFirstModel(zip(*(top.column(c).to_pylist() for c in ("lang", "word", "count"))))
+    counts = publish(counts, "language-words")
+    rows = counts.mapInArrow(hashed, "kind int, lang string, hash long, n long").groupBy("kind", "lang", "hash").agg(F.sum("n").alias("n"))
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    number = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("lang")) - 1, F.lit(0))
+    found = rows.select("kind", number.cast("int").alias("lang"), "hash", "n").toArrow()
+    kinds, langs, hashes, numbers = (found.column(c).to_numpy() for c in ("kind", "lang", "hash", "n"))
+    return WordFirstModel.of_rows(kinds, np.array(names, object)[langs], hashes.view(np.uint64), numbers)
 
 
 def language_of(spark: SparkSession, model: WordFirstModel, text: Column) -> Column:
