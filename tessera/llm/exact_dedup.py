@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns stay as they are.
 
-    Rows of no group pass without a shuffle; only rows that may be copies travel with their texts.
+    Rows of no group pass without a shuffle; only rows that may be copies travel with their texts. Null text counts as
+    empty, of rows repeated with their id one stays, texts are compared whole, and an empty table gives no rows.
     """
     verdicts = publish(exact_dedup(docs, id_col, text_col).filter("group_size > 1"), "exact-groups")
     rows = docs.select(

@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     A hot source is never sorted as one group: keys fall into slices of equal probability, slice sums (combined
     before the shuffle) tell the slice where the budget ends, and only that slice is sorted. Null text has size 0,
     a null source is a source of its own, null or non-positive weights count as 1, and repeated rows are rows of
-    their own. Reruns agree.
+    their own. Other columns are ignored. Very long texts are counted whole. An empty table gives no rows. Reruns agree.
     """
     keyed = publish(docs.select(*sampling_key(weight, size, seed)), "mix-keys")
     slices = publish(keyed.groupBy("source", "slice").agg(F.sum("size").alias("n")), "mix-slices")
@@ -102,6 +102,9 @@ def repeat_documents(docs: DataFrame, weight: Column | None = None, seed: int =
 
     Within a source the rest is the documents up to one key. So the decisions are a row per source, and documents
     find theirs by their own key; no text is shuffled while sources are few enough to broadcast.
+
+    Null texts and texts without words have size 0: they come as often as their source's whole epochs. A null source
+    is a source of its own. Rows with one id and size tie, and fall on the same side of the cut. An empty table gives no rows.
     """
     taken = mix(docs, weight, None, seed, cut_last=False, **targets)
     more = F.col("taken") > F.col("epochs") * F.col("size")

@@ -394,7 +394,8 @@ def with_keeper(rows: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs without the rows that near_duplicates does not keep; all columns stay as they are.
 
-    Rows of classes of one pass without a shuffle; only others travel with their texts.
+    Rows of classes of one pass without a shuffle; only others travel with their texts. Nulls, ties, repeated rows and
+    very long texts are as near_duplicates says; an empty table gives no rows.
     """
     verdicts = publish(near_duplicates(docs.select("doc_id", "text"), least), "near-verdicts")
     dropped = verdicts.filter(~F.col("kept")).select("row")
