@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import condition
@@ -12,7 +12,7 @@ from . import csv_load
 from .scratch import publish, remove
 
 
-def with_serial(df: DataFrame, *order: str, start: int = 1, name: str = "id") -> DataFrame:
+def with_serial(df: DataFrame, *order: str | Column, start: int = 1, name: str = "id") -> DataFrame:
     """Number the rows from `start` in the given order, spread over ranges of it instead of in one task.
 
     Rows are sorted into ranges and written with their range's number, as Spark draws the ranges anew whenever they
