@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import with_serial
 from .shared import publish
 
 SLICES = 4096
@@ -22,26 +23,34 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     """(source, source_size) -> (source, source_size, target, epochs, rest).
 
     The share of all sizes is dealt by weight; no target exceeds `limit` times its source, and what is above is
-    dealt again by weight. The fixed point: with sources ordered by limit per weight, those before a cut get their
-    limit and the others get weight times one level. The windows run over one row per source.
+    dealt again by weight until none is. A round is one sum over the sources, and those at their limit only grow, so
+    there are few. Sources are numbered over ranges of their names; no window runs over all of them.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("w", F.get(cycle, F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))))).withColumn(
-        "cap", F.col("source_size") * F.lit(float(limit))
-    )
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    levels = (
-        ranked.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("all_w", F.sum("w").over(everything))
-        .withColumn("level", level)
-        .withColumn("open", F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))
-        .withColumn("final", F.first("open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    numbered = with_serial(sizes, F.col("source").asc_nulls_last(), name="_number")
+    ranked = publish(
+        numbered.select(
+            "source",
+            "source_size",
+            F.get(cycle, F.pmod(F.col("_number") - 1, F.lit(len(weights)))).alias("w"),
+            (F.col("source_size") * F.lit(float(limit))).alias("cap"),
+        ),
+        "mix-sources",
     )
+    total = (ranked.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level, full_before = 0.0, -1
+    while level is not None:
+        full = F.lit(level) * F.col("w") > F.col("cap")
+        n_full, at_limit, open_weight = ranked.agg(
+            F.count_if(full), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))
+        ).first()
+        if n_full == full_before:
+            break
+        full_before = n_full
+        level = (total - at_limit) / open_weight if open_weight else None
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("w"))
     return (
-        levels.withColumn("target", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))))
+        ranked.withColumn("target", target)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
         .withColumn("rest", F.greatest(F.col("rest"), F.lit(0).cast("long")))
@@ -52,7 +61,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 def sampling_key(weight: Column | None, size: Column | None, seed: int) -> list[Column]:
     """doc_id, source, size, key and slice: the Efraimidis-Spirakis key -ln(u)/w and its slice by probability."""
     words = word_count(F.col("text")) if size is None else size
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", words, F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
+    named = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words, F.lit(seed)).cast("binary"))
+    # 52 bits of the hash, so that u lies strictly between 0 and 1.
+    u = (F.conv(F.substring(named, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
     w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(F.lit(1.0))
     key = -F.log(u) / w
     # 1 - exp(-key) rises with the key and lies in [0, 1].

@@ -94,6 +94,25 @@ ORACLES = {
                    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # Ranks by weight and prefix sums stand for the rounds and the slices; the cut of a source is where its rest ends.
+    "op6_mix_sources": r"""
+        WITH q AS (SELECT doc_id, CASE max(CAST(quality AS INTEGER)) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END::DOUBLE AS w FROM labels GROUP BY doc_id),
+             d AS (SELECT documents.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(q.w, 1.0) AS w
+                   FROM documents LEFT JOIN q ON documents.doc_id = q.doc_id),
+             k AS (SELECT *, -ln((('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), size, 17)), 1, 13))::BIGINT + 0.5::DOUBLE)
+                                 / 4503599627370496::DOUBLE) / w AS key FROM d),
+             s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+                          ([5.0, 2.0, 1.0]::DOUBLE[])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
+             l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))
+                             / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+                   FROM s WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+             f AS (SELECT *, (SELECT min_by(level, cap / weight) FROM l WHERE level * weight <= cap) AS final FROM l),
+             t AS (SELECT source, source_size, least(cap, coalesce(final * weight, cap)) AS target FROM f),
+             e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+             r AS (SELECT k.*, source_size, target, epochs, greatest(round(target)::BIGINT - epochs * source_size, 0) AS rest,
+                          coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(least(rest - before, size), 0) AS BIGINT) AS taken, source FROM r""",
     "op8_warc_round_trip": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
                    FROM pages),
