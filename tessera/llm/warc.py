@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -82,6 +83,8 @@ def put(folder: str, name: str, chunks: Iterator[bytes]) -> int:
     """Write a file under a name of its own and then give it its name, so that a task that runs again leaves one file."""
     import uuid
 
+    from pyarrow import fs
+
     system, path = store(folder)
     system.create_dir(path, recursive=True)
     part, size = f"{path}/.{name}.{uuid.uuid4().hex}", 0
@@ -89,7 +92,13 @@ def put(folder: str, name: str, chunks: Iterator[bytes]) -> int:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
-    system.move(part, f"{path}/{name}")
+    try:
+        system.move(part, f"{path}/{name}")
+    except OSError:
+        # Not every store replaces a file; what is there is the same file of a task that ran before.
+        if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            raise
+        system.delete_file(part)
     return size
 
 
@@ -141,19 +150,17 @@ def stream_records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
         raise ValueError("the archive ends inside a record")
 
 
-def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The content of a gzip file of any number of members, piece by piece."""
-    view, unpack, at = memoryview(data), zlib.decompressobj(31), 0
-    while at < len(view) or unpack.unconsumed_tail:
-        source = unpack.unconsumed_tail or view[at : at + step]
-        at += 0 if unpack.unconsumed_tail else len(source)
-        yield unpack.decompress(source, step)
-        if unpack.eof:
-            at -= len(unpack.unused_data)
-            unpack = zlib.decompressobj(31)
-            if at >= len(view):
-                return
-    if not unpack.eof and len(view):
+def inflate(source: BinaryIO, step: int = 1 << 16) -> Iterator[bytes]:
+    """The content of a gzip file of any number of members, piece by piece; neither file nor content is held whole."""
+    unpack, started = zlib.decompressobj(31), False
+    while held := source.read(step):
+        while held:
+            started = True
+            yield unpack.decompress(held)
+            held = unpack.unused_data
+            if unpack.eof:
+                unpack, started = zlib.decompressobj(31), False
+    if started:
         raise ValueError("the gzip stream is cut off")
 
 
@@ -168,13 +175,18 @@ def normalise_archives(spark: SparkSession, source: str, target: str) -> DataFra
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = store(source)
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            for path in batch.column("path").to_pylist():
                 name, lines, offset = path.rsplit("/", 1)[-1], [], 0
 
                 def members():
+                    with system.open_input_stream(f"{root}/{name}", compression=None) as archive:
+                        yield from rewritten(archive)
+
+                def rewritten(archive):
                     nonlocal offset
-                    for head, block in stream_records(inflate(content.as_buffer())):
+                    for head, block in stream_records(inflate(archive)):
                         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = pack.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
                         fields = headers(head)
@@ -190,8 +202,8 @@ def normalise_archives(spark: SparkSession, source: str, target: str) -> DataFra
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in lines], t) for i, t in enumerate(types)], names=names)
 
-    # One archive at a time is in a task; its size is bounded when it is written.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select("path", "content")
+    # Spark lists the archives and deals them out; a task streams them itself, so their size is not bounded.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select("path")
     return files.mapInArrow(rewrite, INDEX)
 
 
