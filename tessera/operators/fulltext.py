@@ -78,22 +78,52 @@ def best(ranked: DataFrame, key: str, limit: int, offset: int = 0, order_by: lis
 
 
 class InvertedIndex:
-    """Postings with weights, clustered by term, and document norms, as Parquet: a query reads its terms' row groups only."""
+    """Postings with weights, clustered by term, and document norms, as Parquet: a query reads its terms' row groups only.
+
+    Weights depend on all rows, so a change writes a new version from the stored counts; texts are not read again.
+    A folder that holds an index already is an error.
+    """
 
     def __init__(self, df: DataFrame, path: str, key: str, text: str, language: str = "spanish"):
-        self.path, self.key, self.language, self.spark = path, key, language, df.sparkSession
-        counts = publish(postings(df, key, text, language), "postings")
-        self.rows = df.count()
-        weights = weighted(counts, self.rows)
+        self.path, self.key, self.text, self.language, self.spark, self.version = path.rstrip("/"), key, text, language, df.sparkSession, -1
+        self.store(self.counted(df), df.select(key))
+
+    def counted(self, df: DataFrame) -> DataFrame:
+        return publish(postings(df, self.key, self.text, self.language), "postings")
+
+    def store(self, counts: DataFrame, keys: DataFrame) -> None:
+        folder = f"{self.path}/v-{self.version + 1}"
+        keys.write.parquet(f"{folder}/keys")
+        rows = self.spark.read.parquet(f"{folder}/keys").count()
         # A frequent term spreads over several files, so no task holds a term whole.
-        weights.repartitionByRange("term", F.xxhash64(key)).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        weight_norms(self.weights(), key).write.mode("overwrite").parquet(f"{path}/norms")
+        weights = weighted(counts, rows).repartitionByRange("term", F.xxhash64(self.key)).sortWithinPartitions("term")
+        weights.write.parquet(f"{folder}/postings")
+        weight_norms(self.spark.read.parquet(f"{folder}/postings"), self.key).write.parquet(f"{folder}/norms")
+        self.rows, self.version = rows, self.version + 1
+
+    def read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v-{self.version}/{part}")
 
     def weights(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.read("postings")
 
     def norms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/norms")
+        return self.read("norms")
+
+    def without(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The counts and the keys of the rows that stay."""
+        gone = keys.select(self.key).distinct()
+        counts = publish(self.weights().select(self.key, "term", "tf").join(gone, self.key, "left_anti"), "postings")
+        return counts, self.read("keys").join(gone, self.key, "left_anti")
+
+    def add(self, df: DataFrame) -> None:
+        """Index more rows; a row whose key is there takes its place."""
+        counts, keys = self.without(df)
+        self.store(counts.unionByName(self.counted(df)), keys.unionByName(df.select(self.key)))
+
+    def remove(self, keys: DataFrame) -> None:
+        """Take out the rows whose keys stand in the column of that name; keys that are not there change nothing."""
+        self.store(*self.without(keys))
 
     def postings(self, term: str) -> DataFrame:
         return self.weights().filter(F.col("term") == term).select(self.key, "tf")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.spatial import distance, within
 from .relational import top
@@ -25,17 +26,38 @@ def nearest(df: DataFrame, centre: tuple[float, float], k: int, key: str, x: str
 
 
 class GridIndex:
-    """Points stored by grid cell, so that a query reads the cells that it touches and no others."""
+    """Points stored by grid cell, so that a query reads the cells that it touches and no others.
+
+    Coordinates must be numbers and the cell's side positive; a folder that holds a grid already is an error.
+    """
 
     def __init__(self, df: DataFrame, path: str, cell: float, x: str = "x", y: str = "y"):
-        self.path, self.cell, self.x, self.y, self.spark = path, float(cell), x, y, df.sparkSession
+        if not cell > 0 or not all(isinstance(df.schema[c].dataType, NumericType) for c in (x, y)):
+            raise ValueError("a grid needs numbers as coordinates and a positive cell")
+        self.path, self.cell, self.x, self.y, self.spark, self.version = path.rstrip("/"), float(cell), x, y, df.sparkSession, 0
+        self.write(self.placed(df), "error")
+
+    def placed(self, df: DataFrame) -> DataFrame:
         at = lambda c: F.floor(F.col(c) / self.cell).cast("long")
-        placed = df.withColumns({"cell_x": at(x), "cell_y": at(y)})
+        return df.withColumns({"cell_x": at(self.x), "cell_y": at(self.y)})
+
+    def write(self, placed: DataFrame, mode: str) -> None:
         # Rows of a stripe of cells meet in as many files as they need; min/max statistics skip by cell_y.
-        placed.repartitionByRange("cell_x", "cell_y", F.xxhash64(x, y)).sortWithinPartitions("cell_x", "cell_y").write.mode("overwrite").parquet(path)
+        spread = placed.repartitionByRange("cell_x", "cell_y", F.xxhash64(self.x, self.y)).sortWithinPartitions("cell_x", "cell_y")
+        spread.write.mode(mode).parquet(f"{self.path}/v-{self.version}")
+
+    def add(self, df: DataFrame) -> None:
+        """More rows go to files of their own; the others stay as they are."""
+        self.write(self.placed(df).select(self.table().columns), "append")
+
+    def remove(self, condition: Column) -> None:
+        """Take out the rows that meet the condition, in a new version; rows for which it is null stay."""
+        kept = self.table().filter(~F.coalesce(condition, F.lit(False)))
+        self.version += 1
+        self.write(kept, "error")
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(f"{self.path}/v-{self.version}")
 
     def radius(self, centre: tuple[float, float], r: float) -> DataFrame:
         low, high = [math.floor((c - r) / self.cell) for c in centre], [math.floor((c + r) / self.cell) for c in centre]

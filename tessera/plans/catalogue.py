@@ -322,12 +322,27 @@ def accent_stripping(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(normal_text(F.col("text"))).alias("plain"))
 
 
+def holds(*words: str) -> str:
+    return f"list_has_any(tokens, {list(words)})"
+
+
+# The forms that the published algorithm cuts to "attion", "run" and "gat", as far as texts hold them: fixed values.
+ATTION = holds("attion", "attions", "attione", "attiones", "attioned", "attioning", "attioner", "attioners", "attionly")
+RUN = holds("run", "runs", "running")
+GAT = holds("gat", "gata", "gatas", "gato", "gatos", "gatar", "gatan", "gatara", "gatado", "gataar", "gataas", "gataado", "gatamente")
+
+
+@query(matching(GAT))
+def match_stemmed_es_forms(spark, sf):
+    return fulltext.search(read(spark, sf, "documents"), "text", "gatos", "spanish").select("doc_id", "lang")
+
+
 @query()
 def match_stemmed_es(spark, sf):
     return fulltext.search(read(spark, sf, "documents"), "text", "ciones OR gatos", "spanish").select("doc_id", "lang")
 
 
-@query()
+@query(matching(f"{ATTION} AND NOT {RUN}"))
 def match_stemmed_en(spark, sf):
     return fulltext.search(read(spark, sf, "documents"), "text", "attions AND NOT running", "english").select("doc_id", "lang")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import condition
+from ..plans.results import export_csv
 from . import csv_load
 from .scratch import publish, remove
 
@@ -145,4 +146,4 @@ class Table:
         return {"columns": rows.dtypes, "key": self.key, "rows": rows.count(), "files": len(rows.inputFiles())}
 
     def export_csv(self, path: str) -> None:
-        self.rows().write.mode("overwrite").csv(path, header=True)
+        export_csv(self.rows(), path)

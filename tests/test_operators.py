@@ -74,6 +74,22 @@ def test_radius_and_nearest_match_brute_force(items, spark, tmp_path):
         spatial.nearest(items, (0, 0), 0, "id")
 
 
+def test_grid_takes_changes_and_refuses_what_it_cannot_hold(items, spark, tmp_path):
+    grid = spatial.GridIndex(items, str(tmp_path / "grid"), 1.0)
+    other = items.filter("id < 5").withColumns({"id": F.col("id") + 10_000, "x": F.col("x") + 50})
+    grid.add(other)
+    now = items.unionByName(other)
+    assert ids(grid.radius((54, 4), 6)) == ids(spatial.radius(now, (54, 4), 6)) != []
+    grid.remove(F.col("id") % 2 == 0)
+    now = now.filter("id % 2 = 1")
+    assert ids(grid.radius((4, 4), 9)) == ids(spatial.radius(now, (4, 4), 9)) != []
+    for make in (lambda: spatial.GridIndex(items, str(tmp_path / "g2"), 0), lambda: spatial.GridIndex(items.withColumn("x", F.lit("a")), str(tmp_path / "g3"), 1)):
+        with pytest.raises(ValueError):
+            make()
+    with pytest.raises(Exception, match="exist"):
+        spatial.GridIndex(items, str(tmp_path / "grid"), 1.0)
+
+
 def test_terms(spark):
     df = spark.createDataFrame([("El Niño CORRIENDO, ação x²",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(terms(F.col("t"))).collect()] == [["el", "nino", "corriendo", "acao", "x2"], [], []]
@@ -103,6 +119,27 @@ def test_boolean_search_by_scan_and_index(spark, tmp_path, query, want):
     assert index.frequency("red") == 3
 
 
+def test_index_takes_changes(spark, tmp_path):
+    schema = "id int, text string"
+    index = fulltext.InvertedIndex(spark.createDataFrame(DOCS, schema), str(tmp_path / "index"), "id", "text", "none")
+
+    def agrees(rows):
+        docs = spark.createDataFrame(rows, schema)
+        for query in ("red", "blue NOT red", "violet"):
+            assert ids(index.search(docs, query)) == ids(fulltext.search(docs, "text", query))
+        for query in ("red blue", "violet"):
+            want = {r["id"]: r["cosine_score"] for r in fulltext.rank(docs, "id", "text", query).collect()}
+            assert {r["id"]: r["cosine_score"] for r in index.score(query).collect()} == want
+        assert index.rows == len(rows)
+
+    index.add(spark.createDataFrame([(7, "violet blue"), (1, "violet")], schema))
+    rows = [r for r in DOCS if r[0] != 1] + [(7, "violet blue"), (1, "violet")]
+    agrees(rows)
+    index.remove(spark.createDataFrame([(3,), (5,), (99,), (3,)], "id int"))
+    agrees([r for r in rows if r[0] not in (3, 5)])
+    assert index.frequency("green") == 1
+
+
 @pytest.mark.parametrize("query", ["", "AND red", "red OR", "(red", "red)", "NOT"])
 def test_malformed_queries(spark, query):
     with pytest.raises(ValueError):

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans.results import export_csv
 from tessera.sources import csv_load, tables
 from tessera.sources.csv_load import ColumnSpec
 from tessera.streaming.ingest import ingest
@@ -183,3 +184,13 @@ def test_stream_keeps_the_first_of_a_key(spark, tmp_path):
     stream = spark.readStream.schema("id int, ts timestamp, v string").parquet(str(source))
     ingest(stream, str(tmp_path / "out"), "id", "ts", str(tmp_path / "check")).awaitTermination(120)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_a_result_is_exported_whole(spark, tmp_path):
+    df = spark.range(300).select("id", F.struct((F.col("id") * 1.5).alias("x"), F.lit(-2.0).alias("y")).alias("place"), F.array("id").alias("many"))
+    export_csv(df, str(tmp_path / "out"))
+    back = csv_load.read_csv(spark, str(tmp_path / "out"))
+    kinds = {c.name: c.kind for c in csv_load.infer_schema(back)}
+    assert (kinds["id"], kinds["place"]) == ("INT", "POINT")
+    loaded = csv_load.load(back, [csv_load.ColumnSpec("id", "INT", None, True), csv_load.ColumnSpec("place", "POINT"), csv_load.ColumnSpec("many", "TEXT")]).accepted
+    assert sorted((r["id"], r["place"]["x"], r["many"]) for r in loaded.collect()) == [(i, i * 1.5, f"[{i}]") for i in range(300)]
