@@ -6,7 +6,8 @@ import re
 import unicodedata
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def character_class(characters) -> str:
 
 TERM = re.compile("[a-z0-9]+")
 FOLDS, LONGER = folding_tables()
-BEYOND_ASCII, FOLDS_TO_SEVERAL = r"[^\x00-\x7F]", character_class(LONGER)
+BEYOND_ASCII = r"[^\x00-\x7F]"
+FOLDS_TO_SEVERAL = r"(?![\x00-\x7F])" + character_class(LONGER)  # the long class is tried on characters beyond ASCII only
 
 
 def normal_text(text: Column) -> Column:
@@ -97,22 +99,35 @@ def terms(text: Column, language: str = "none") -> Column:
 
 
 def stems(language: str):
-    """A pandas UDF that stems arrays of terms; a worker stems each term once."""
-
-    @F.pandas_udf("array<string>")
-    def stemmed(batch: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        out = []
-        for row in batch:
-            for term in row:
-                if term not in known:
-                    known[term] = stem(term, language)
-            out.append([known[t] for t in row])
-        return pd.Series(out)
+    """An Arrow UDF that stems arrays of terms; each distinct term of a batch is stemmed once, and texts never become Python objects."""
+
+    @F.arrow_udf("array<string>")
+    def stemmed(batch: pa.Array) -> pa.Array:
+        ends = batch.offsets
+        found = batch.values.slice(ends[0].as_py(), ends[-1].as_py() - ends[0].as_py()).dictionary_encode()
+        kinds = pa.array([stem(t, language) for t in found.dictionary.to_pylist()], batch.type.value_type)
+        return type(batch).from_arrays(pc.subtract(ends, ends[0]), kinds.take(found.indices))
 
     return stemmed
 
 
+def heads(wanted, language: str) -> list[str]:
+    """What every term begins with whose stem is wanted: a stem differs from its term's beginning in its last two letters at most, never in the first."""
+    return sorted({re.escape(w if language == "none" else w[:-2] or w[:1]) for w in wanted})
+
+
+def held(text: Column, wanted, language: str = "none") -> Column:
+    """Those of the text's terms() that can be wanted, each once: all that a Boolean query over the wanted terms needs of a text."""
+    if not wanted:
+        return F.array().cast("array<string>")
+    rest = "(?![a-z0-9])" if language == "none" else ""
+    pattern = f"(?=(?:{'|'.join(heads(wanted, language))}){rest})(?<![a-z0-9])[a-z0-9]+"
+    found = F.array_distinct(F.regexp_extract_all(normal_text(F.coalesce(text, F.lit(""))), F.lit(pattern), 0))
+    if language == "none":
+        return found
+    return stems(language)(F.filter(found, lambda t: ~t.isin(*sorted(STOPWORDS))))
+
+
 def plain_terms(text: str, language: str = "none") -> list[str]:
     """terms() of a literal, on the driver."""
     found = TERM.findall(folded(text.lower()))
@@ -159,3 +174,8 @@ def query_words(query: str, language: str = "none") -> list[str]:
     if not tokens:
         raise ValueError("the match query is empty")
     return found
+
+
+def query_operands(query: str, language: str = "none") -> list[str]:
+    """The distinct terms of a Boolean query, sorted."""
+    return sorted({t for token in OPERAND.findall(query) if token.upper() not in ("AND", "OR", "NOT", "(", ")") for t in plain_terms(token, language)})

@@ -33,3 +33,13 @@ def ship(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+BATCH_ROWS = 500
+"""Rows of an Arrow batch: long texts are held by the hundred, not by Spark's ten thousand."""
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python steps of this session take small batches, so that a worker's memory does not follow the partition."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions.stemming import english, spanish
-from tessera.functions.text import SPANISH_STOPS, STOPWORDS, match, plain_terms, terms
+from tessera.functions.text import SPANISH_STOPS, STOPWORDS, held, match, plain_terms, terms
 from tessera.functions.vector import cosine_distance, parse_vector
 from tessera.operators import fulltext, recommend, relational, spatial, vectors
 from tessera.plans.results import show
@@ -104,6 +104,27 @@ def test_stems():
     assert [spanish(w) for w in "gatos nacional rapidamente libros".split()] == ["gat", "nacional", "rapid", "libr"]
 
 
+ENDS = "s es ed ing ly er ational ization biliti bility iveness ities ied os as ando aciones encia encias logia ucion mente idad gata y e".split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abdegilnorstuy", min_size=1, max_size=7), st.lists(st.sampled_from(ENDS), max_size=3))
+def test_stems_keep_the_beginnings_that_searches_look_for(begin, ends):
+    for word in (begin + "".join(ends), "dying", "skies", "ugly"):
+        for stem in (english(word), spanish(word)):
+            assert word.startswith(stem[:-2] or stem[:1])
+
+
+@pytest.mark.parametrize("language, wanted", [("none", ["running"]), ("english", ["run", "die"]), ("spanish", ["gat", "cion"]), ("english", [])])
+def test_a_search_takes_from_a_text_what_it_can_want_only(spark, language, wanted):
+    text = "Running runs, the rünner re-runs unrunning rest dying died gatos gata ciones acción to running other words"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    taken = [r[0] for r in df.select(held(F.col("t"), wanted, language)).collect()]
+    assert set(taken[0]) & set(wanted) == set(plain_terms(text, language)) & set(wanted)
+    assert len(taken[0]) == len(set(taken[0])) or language != "none"
+    assert len(taken[0]) < 8 and taken[1:] == [[], []]
+
+
 DOCS = [(1, "red blue"), (2, "blue green"), (3, "red green"), (4, "Red, red RED"), (5, ""), (6, None)]
 
 
